@@ -18,6 +18,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substring import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), texts=False)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.wordpiece import pieces_of, token_counts
 
@@ -81,6 +87,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SPACE = r"[\x20\x09-\x0D]"
 
+_OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+dup AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN dup USING (g))),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id) AS place FROM d)
@@ -112,4 +128,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _OP6, "op7_url_filters": _OP7, "op9_decontamination": _OP9}
+    return {"op1_substring_dedup": _OP1, "op6_exact_dedup": _OP6, "op7_url_filters": _OP7, "op9_decontamination": _OP9}
