@@ -1,0 +1 @@
+"""Readers and writers: graph files, edge lists, logs, dumps."""
