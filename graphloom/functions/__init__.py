@@ -77,8 +77,9 @@ def dense_vector(keys: DataFrame, facts: DataFrame, on: list[str], key: str, val
     pick = F.max_by(value, latest) if latest else F.max(value)
     one = facts.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(*on, key).agg(pick.alias("_value"))
     have = one.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(key, "_value"))).alias("_have"))
-    made = F.transform(F.array(*[F.lit(k) for k in all_keys]).cast(T.ArrayType(keys.schema[key].dataType)), lambda k: F.struct(k.alias("key"), F.coalesce(F.col("_have")[k].cast("double"), F.lit(default)).alias("value")))
-    return facts.select(*on).distinct().join(have.withColumn("vector", made).drop("_have"), on, "left")
+    slots = F.array(*[F.lit(k) for k in all_keys]).cast(T.ArrayType(keys.schema[key].dataType))
+    made = F.transform(slots, lambda k: F.struct(k.alias("key"), F.coalesce(F.col("_have")[k].cast("double"), F.lit(default)).alias("value")))
+    return facts.select(*on).distinct().join(have, on, "left").withColumn("vector", made).drop("_have")
 
 
 def greatest_or_null(*values: Column | str) -> Column:
