@@ -1,9 +1,7 @@
-"""What the corpus operators share: the shared folder, written tables, row keys and word rules."""
+"""What the corpus operators share: row keys, batches and word rules, with the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,47 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters that separate words and that normalisation deletes.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+from graphloom.shared import drop_path, drop_written, new_path, shared_dir, written
 
+__all__ = ["drop_path", "drop_written", "extended", "free_shuffles", "lower_ascii", "new_path", "row_key", "shared_dir", "slices", "utf8", "written"]
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path  # so that the maker can drop it early
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing reads any more."""
-    drop_path(df.sparkSession, df._graphloom_path)
+#: Characters that separate words and that normalisation deletes.
+SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def free_shuffles(spark: SparkSession) -> None:
