@@ -15,10 +15,10 @@ from graphloom.llm.common import extended, slices, utf8
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 8, 3, 6
 #: Words of a segment. A text is judged by its worst segment, so that length does not dilute an insult.
-SEGMENT = 16
+SEGMENT = 8
 #: The model is learnt from about this many labelled rows of each class, of at most this many bytes each.
 ROWS_PER_CLASS, BYTES_PER_ROW = 3000, 12_000
-ROUNDS, STEPS, RATE, DECAY = 3, 25, 0.08, 2e-4
+ROUNDS, STEPS, RATE, DECAY = 5, 20, 0.08, 2e-4
 MEMORY_WORDS = 400_000
 #: Stripped from both ends of a word.
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&-_/\\|~^=+@`"
@@ -144,21 +144,22 @@ class _Trainer:
         docs = [d[d >= 0] for d in self.docs]
         clean = [s for d, y in zip(docs, self.labels, strict=True) if not y for s in self.pieces(d) if len(s)]
         for r in range(ROUNDS):
+            hard: list[np.ndarray] = []
             if r == 0:  # every segment of a toxic text counts as toxic
                 toxic = [s for d, y in zip(docs, self.labels, strict=True) if y for s in self.pieces(d) if len(s)]
-            else:  # then the one that the model finds worst
+            else:  # then the one that the model finds worst, against the worst ones of the clean texts
                 logit = self.word_logits()
                 toxic = []
                 for d, y in zip(docs, self.labels, strict=True):
-                    if y and len(d):
+                    if len(d):
                         at = worst_segment(logit[d])[1]
-                        toxic.append(d[at : at + SEGMENT])
+                        (toxic if y else hard).append(d[at : at + SEGMENT])
             if not toxic or not clean:
                 break
             for _ in range(STEPS):
-                pick = self.rng.choice(len(clean), min(len(clean), 12_000), replace=False)
-                some = toxic if len(toxic) <= 12_000 else [toxic[i] for i in self.rng.choice(len(toxic), 12_000, replace=False)]
-                self.step([*some, *[clean[i] for i in pick]], np.array([1] * len(some) + [0] * len(pick)))
+                pick = [clean[i] for i in self.rng.choice(len(clean), min(len(clean), 6000), replace=False)] + hard
+                some = toxic if len(toxic) <= 9000 else [toxic[i] for i in self.rng.choice(len(toxic), 9000, replace=False)]
+                self.step([*some, *pick], np.array([1] * len(some) + [0] * len(pick)))
         weight = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
         bias = float(self.bias[1] - self.bias[0])
         logit = self.word_logits()
