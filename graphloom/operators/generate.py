@@ -26,18 +26,16 @@ def star(spark: SparkSession, n: int, undirected: bool = False) -> Graph:
 
 
 def lattice(spark: SparkSession, sides: list[int], wrap: bool, undirected: bool = False) -> Graph:
-    """Each cell to the next one along each side; with ``wrap`` the last goes on to the first."""
+    """Each cell to the next one along each side; with ``wrap`` the first also to the last."""
     cells, steps = spark.range(math.prod(sides)), []
     stride = 1
     for side in reversed(sides):
         at = F.floor(F.col("id") / stride) % side
-        inner = F.col("id") + stride
-        if wrap:
-            steps.append(F.when(at == side - 1, F.col("id") - (side - 1) * stride).otherwise(inner))
-        else:
-            steps.append(F.when(at < side - 1, inner))
+        onward = F.struct(F.col("id").alias("src"), (F.col("id") + stride).alias("dst"))
+        around = F.struct((F.col("id") - (side - 1) * stride).alias("src"), F.col("id").alias("dst"))
+        steps.append(F.when(at < side - 1, onward).otherwise(around) if wrap else F.when(at < side - 1, onward))
         stride *= side
-    return _graph(cells.select(F.col("id").alias("src"), F.explode(F.array(*steps)).alias("dst")).where("dst is not null"), undirected)
+    return _graph(cells.select(F.explode(F.array(*steps)).alias("e")).where("e is not null").select("e.*"), undirected)
 
 
 def mesh(spark: SparkSession, height: int, width: int, undirected: bool = False) -> Graph:
@@ -45,12 +43,12 @@ def mesh(spark: SparkSession, height: int, width: int, undirected: bool = False)
     return lattice(spark, [height, width], False, undirected)
 
 
-def degree4(spark: SparkSession, n: int, undirected: bool = True) -> Graph:
+def degree4(spark: SparkSession, n: int, undirected: bool = False) -> Graph:
     """A torus of n x n cells."""
     return lattice(spark, [n, n], True, undirected)
 
 
-def degree6(spark: SparkSession, n: int, undirected: bool = True) -> Graph:
+def degree6(spark: SparkSession, n: int, undirected: bool = False) -> Graph:
     """A torus of n x n x n cells."""
     return lattice(spark, [n, n, n], True, undirected)
 
@@ -63,7 +61,7 @@ def torus(spark: SparkSession, n: int, dimensions: int, undirected: bool = False
 def _decode(index: Column, vertices: int, undirected: bool) -> tuple[Column, Column]:
     if undirected:
         row = triangle_row(index)
-        return row, index - F.expr("0") - (row * (row + 1) / 2).cast("long")
+        return row, index - (row * (row + 1) / 2).cast("long")
     return F.floor(index / vertices).cast("long"), index % vertices
 
 

@@ -722,7 +722,7 @@ def g10_mesh(lab: Lab) -> DataFrame:
     return generate.mesh(lab.spark, 20, 30).edges
 
 
-@query("c AS (SELECT i, i // 12 AS r, i % 12 AS k FROM range(144) t(i)), o AS (SELECT i AS src, r * 12 + (k + 1) % 12 AS dst FROM c UNION ALL SELECT i, ((r + 1) % 12) * 12 + k FROM c) SELECT src, dst FROM o UNION SELECT dst, src FROM o")
+@query("c AS (SELECT i, i // 12 AS r, i % 12 AS k FROM range(144) t(i)) SELECT CASE WHEN k < 11 THEN i ELSE i - 11 END AS src, CASE WHEN k < 11 THEN i + 1 ELSE i END AS dst FROM c UNION SELECT CASE WHEN r < 11 THEN i ELSE k END, CASE WHEN r < 11 THEN i + 12 ELSE i END FROM c")
 def g10_degree4(lab: Lab) -> DataFrame:
     return generate.degree4(lab.spark, 12).edges
 
