@@ -159,3 +159,21 @@ def train_tree(rows: DataFrame, features: list[str], label: str, depth: int = 5,
 
     add(fitted._java_obj.rootNode())
     return nodes, dict(zip(features, fitted.featureImportances.toArray().tolist(), strict=True))
+
+
+def prediction_report(predicted: DataFrame, best: DataFrame, steps: DataFrame) -> DataFrame:
+    """(variant_id, step_id, impl, best_impl, relative): each step's choice, the best one, and how much slower the choice was."""
+    times = steps.select("variant_id", "step_id", F.col("impl_id").alias("impl"), "avg_time")
+    joined = predicted.select("variant_id", "step_id", "impl").join(best, ["variant_id", "step_id"]).join(times, ["variant_id", "step_id", "impl"], "left")
+    return joined.select("variant_id", "step_id", "impl", "best_impl", F.try_divide("avg_time", "best_time").alias("relative"))
+
+
+def relative_to_optimal(totals: DataFrame) -> DataFrame:
+    """(variant_id, impl_id, relative): each total by the optimum of its variant."""
+    base = totals.where(F.col("impl_id") == OPTIMAL).select("variant_id", F.col("time").alias("base"))
+    return totals.join(base, "variant_id").select("variant_id", "impl_id", F.try_divide("time", "base").alias("relative"))
+
+
+def importance_report(importances: dict[str, float]) -> list[tuple[str, float]]:
+    """Features by importance, then by name."""
+    return sorted(importances.items(), key=lambda x: (-x[1], x[0]))

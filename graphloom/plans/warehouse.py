@@ -130,3 +130,22 @@ def distinct_field(df: DataFrame, field: str, prefix: str | None = None) -> Data
 def best_impl(steps: DataFrame) -> DataFrame:
     """(variant_id, best_impl): the implementation of the least (avg, max) step, nulls last."""
     return steps.groupBy("variant_id").agg(min_key("impl_id", "avg_time", "max_time").alias("best_impl"))
+
+
+def keep_properties(vectors: DataFrame, keep: set[int] | None = None, drop: set[int] | None = None, column: str = "props") -> DataFrame:
+    """Vectors without the properties in ``drop``, and with those in ``keep`` alone unless it is empty."""
+    wanted = lambda x: (F.lit(True) if not keep else x["key"].isin(*keep)) & (~x["key"].isin(*drop) if drop else F.lit(True))
+    return vectors.withColumn(column, F.filter(column, wanted))
+
+
+def default_variants(variants: DataFrame, graph_ids: str, config: str) -> DataFrame:
+    """(graph_id, variant_id) of the graphs in an interval list under the default configuration; a graph without exactly one is an error."""
+    from graphloom.functions import in_intervals
+
+    chosen = variants.where(in_intervals("graph_id", graph_ids) & (F.col("config_name") == config)).groupBy("graph_id").agg(F.min("variant_id").alias("variant_id"), F.count("*").alias("n"))
+    return chosen.select("graph_id", F.when(F.col("n") == 1, F.col("variant_id")).otherwise(F.raise_error(F.concat(F.lit("several default variants of graph "), F.col("graph_id").cast("string")))).alias("variant_id"))
+
+
+def reset(table: DataFrame, column: str, value) -> DataFrame:
+    """The table with one column set back for all rows."""
+    return table.withColumn(column, F.lit(value).cast(table.schema[column].dataType))

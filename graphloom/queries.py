@@ -745,6 +745,164 @@ def a16_summary(lab: Lab) -> DataFrame:
     return summary(lab.runs, "total_time", ["impl_id"]).drop("mean", "stddev")
 
 
+# Further operators of the inventory
+
+
+@query("SELECT src, dst, count(*) AS copies FROM edges GROUP BY ALL")
+def s10_edge_dump(lab: Lab) -> DataFrame:
+    return lab.edges.select("src", "dst").withColumn("copies", F.lit(1).cast("long"))
+
+
+@query(f"{_LEVELS} SELECT id || chr(9) || coalesce(l, 2147483647) AS line FROM vertices LEFT JOIN lv ON v = id", recursive=True)
+def s20_search_lines(lab: Lab) -> DataFrame:
+    return _graph(lab).bfs(ROOT).select(F.concat_ws("\t", "id", "level").alias("line"))
+
+
+@query(f"SELECT variant_id, step_id, {model.tree_sql(TREE)} AS raw FROM (SELECT DISTINCT s.variant_id, s.step_id, v.graph_id FROM step_fact s JOIN variant_dim v USING (variant_id))")
+def s21_exported_tree(lab: Lab) -> DataFrame:
+    return _steps_with_graph(lab).select("variant_id", "step_id", F.expr(model.tree_sql(TREE)).alias("raw"))
+
+
+@query("SELECT variant_id, graph_id FROM variant_dim WHERE graph_id IN (1, 4, 9) AND config_name = 'BUILDING'")
+def f4_f6_f8_optional_filters(lab: Lab) -> DataFrame:
+    asked = {"graph_id": [1, 4, 9], "config_name": ["BUILDING"], "variant_id": []}
+    return lab.variants.where(relational.equals_any(asked)).select("variant_id", "graph_id")
+
+
+@query("SELECT variant_id, step_id, impl_id, avg_time AS time FROM step_fact WHERE impl_id IN (1, 3)")
+def f9_f12_property_sets(lab: Lab) -> DataFrame:
+    vectors = fn.dense_vector(lab.impls, lab.steps, ["variant_id", "step_id"], "impl_id", "avg_time", float("nan")).withColumnRenamed("vector", "props")
+    kept = warehouse.keep_properties(vectors, keep={1, 2, 3}, drop={2}).select("variant_id", "step_id", F.explode("props").alias("x"))
+    return kept.where(~F.isnan("x.value")).select("variant_id", "step_id", F.col("x.key").alias("impl_id"), F.col("x.value").alias("time"))
+
+
+@query("SELECT r.variant_id, r.run_id, r.impl_id, m.most FROM run_fact r JOIN (SELECT variant_id, max(total_time) AS most FROM run_fact GROUP BY variant_id) m USING (variant_id) WHERE r.total_time = m.most")
+def j2_j8_grouped_subquery(lab: Lab) -> DataFrame:
+    runs = lab.runs
+    most = runs.groupBy("variant_id").agg(F.max("total_time").alias("most"))
+    return runs.join(most, "variant_id").where("total_time = most").select("variant_id", "run_id", "impl_id", "most")
+
+
+@query("SELECT c_custkey AS variant_id, c_nationkey + 0 AS graph_id, n_name AS graph FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 50")
+def j10_natural_keys(lab: Lab) -> DataFrame:
+    names = F.broadcast(lab.table("nation").select(F.col("n_nationkey").alias("graph_id"), F.col("n_name").alias("graph")))
+    rows = lab.table("customer").where("c_custkey < 50").select(F.col("c_custkey").alias("variant_id"), F.col("c_nationkey").alias("graph_id"))
+    return rows.join(names, "graph_id").select("variant_id", "graph_id", "graph")
+
+
+@query("SELECT variant_id, count(*) AS n, count(*) FILTER (validated) AS valid, min(total_time) FILTER (impl_id < 3) AS least_core FROM run_fact GROUP BY variant_id HAVING count(*) >= 20")
+def a1_a5_filtered_aggregates(lab: Lab) -> DataFrame:
+    found = lab.runs.groupBy("variant_id").agg(F.count("*").alias("n"), F.count_if("validated").alias("valid"), F.min(F.when(F.col("impl_id") < 3, F.col("total_time"))).alias("least_core"))
+    return found.where("n >= 20")
+
+
+@query("SELECT config_name, count(DISTINCT graph_id) AS graphs, string_agg(DISTINCT CAST(graph_id % 5 AS VARCHAR), ',' ORDER BY CAST(graph_id % 5 AS VARCHAR)) AS classes FROM variant_dim GROUP BY config_name")
+def a7_a8_distinct_aggregates(lab: Lab) -> DataFrame:
+    classes = F.array_join(F.sort_array(F.collect_set((F.col("graph_id") % 5).cast("string"))), ",")
+    return lab.variants.groupBy("config_name").agg(F.countDistinct("graph_id").alias("graphs"), classes.alias("classes"))
+
+
+@query("SELECT v.variant_id, any_value(g.name) AS graph, sum(r.total_time)::BIGINT AS time FROM run_fact r JOIN variant_dim v USING (variant_id) JOIN graph_dim g USING (graph_id) GROUP BY v.variant_id")
+def a15_dependent_column(lab: Lab) -> DataFrame:
+    joined = lab.runs.join(lab.variants.select("variant_id", "graph_id"), "variant_id").join(F.broadcast(lab.graphs.select("graph_id", F.col("name").alias("graph"))), "graph_id")
+    return joined.groupBy("variant_id").agg(F.any_value("graph").alias("graph"), F.sum("total_time").alias("time"))
+
+
+@query("SELECT e.dst AS id, min(e.src) AS least, count(*) AS n FROM edges e WHERE e.src < 100 GROUP BY e.dst")
+def a22_scatter(lab: Lab) -> DataFrame:
+    return lab.edges.where("src < 100").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("least"), F.count("*").alias("n"))
+
+
+@query("SELECT variant_id, step_id, max_time, CAST(sum(step_id + 1) OVER w AS BIGINT) AS all_steps, count(*) OVER w AS n FROM (SELECT variant_id, step_id, max(max_time) AS max_time FROM step_fact GROUP BY ALL) WINDOW w AS (PARTITION BY variant_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def w5_w6_w9_full_frames(lab: Lab) -> DataFrame:
+    by = Window.partitionBy("variant_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = lab.steps.groupBy("variant_id", "step_id").agg(F.max("max_time").alias("max_time"))
+    return rows.withColumn("all_steps", F.sum(F.col("step_id") + 1).over(by)).withColumn("n", F.count("*").over(by))
+
+
+@query("SELECT impl_id, place FROM (SELECT impl_id, row_number() OVER (ORDER BY CASE WHEN impl_id = -1 THEN 0 ELSE 1 END, time, impl_id) AS place FROM (SELECT impl_id, sum(avg_time) AS time FROM step_fact GROUP BY impl_id UNION ALL SELECT -1, 1e18))")
+def o8_report_order(lab: Lab) -> DataFrame:
+    rows = lab.steps.groupBy("impl_id").agg(F.sum("avg_time").alias("time")).unionByName(lab.spark.createDataFrame([(fn.OPTIMAL, 1e18)], "impl_id long, time double"))
+    return numbered(rows, [F.when(F.col("impl_id") == fn.OPTIMAL, 0).otherwise(1), "time", "impl_id"], "place").select("impl_id", "place")
+
+
+@query("SELECT graph_id, n FROM (SELECT graph_id, count(*) AS n, -ln((('0x' || substr(md5('42:7:' || graph_id), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710656.0) / count(*) AS place FROM variant_dim GROUP BY graph_id) ORDER BY place LIMIT 8")
+def o10_weighted_sample(lab: Lab) -> DataFrame:
+    weights = lab.variants.groupBy("graph_id").agg(F.count("*").alias("n"))
+    return relational.weighted_sample(weights, "n", "graph_id", 8, SEED)
+
+
+@query("SELECT dst AS src, src AS dst FROM edges UNION SELECT src, dst FROM edges WHERE src < 50")
+def u2_u4_u5_reverse_union(lab: Lab) -> DataFrame:
+    return _graph(lab).reversed.edges.unionByName(lab.edges.where("src < 50")).distinct()
+
+
+@query("SELECT variant_id, max(step_id) AS last_step, arg_max(m, step_id) AS last_time FROM (SELECT variant_id, step_id, min(min_time) AS m FROM step_fact GROUP BY ALL) GROUP BY variant_id")
+def p5_p8_group_fold(lab: Lab) -> DataFrame:
+    rows = lab.steps.groupBy("variant_id", "step_id").agg(F.min("min_time").alias("m"))
+    return rows.groupBy("variant_id").agg(F.max("step_id").alias("last_step"), F.max_by("m", "step_id").alias("last_time"))
+
+
+@query("SELECT graph_id, min(variant_id) AS variant_id FROM variant_dim WHERE (graph_id BETWEEN 2 AND 6 OR graph_id = 11) AND variant_id IN (SELECT min(variant_id) FROM variant_dim WHERE config_name = 'BUILDING' GROUP BY graph_id) GROUP BY graph_id")
+def q14_default_variants(lab: Lab) -> DataFrame:
+    firsts = lab.variants.where("config_name = 'BUILDING'").groupBy("graph_id").agg(F.min("variant_id").alias("variant_id")).withColumn("config_name", F.lit("BUILDING"))
+    return warehouse.default_variants(firsts, "2-6,11", "BUILDING")
+
+
+@query("SELECT g.name, 'dataset' AS property, CAST(g.dataset_id AS DOUBLE) AS value FROM graph_dim g WHERE g.graph_id < 10")
+def q15_graph_properties(lab: Lab) -> DataFrame:
+    values = lab.graphs.where("graph_id < 10").select("graph_id", F.lit("dataset").alias("property"), F.col("dataset_id").cast("double").alias("value"))
+    return values.join(lab.graphs.select("graph_id", "name"), "graph_id").select("name", "property", "value")
+
+
+@query(
+    f"{_PREDICTED}, firstset AS (SELECT variant_id, step_id, CASE WHEN raw = -2 THEN 1 ELSE raw END AS answer FROM pred), {_BEST}"
+    " SELECT p.variant_id, p.step_id, p.answer AS impl, b.best_impl, round(s.avg_time / b.best_time, 6) AS relative FROM firstset p JOIN best b USING (variant_id, step_id) LEFT JOIN step_fact s ON s.variant_id = p.variant_id AND s.step_id = p.step_id AND s.impl_id = p.answer"
+)
+def m2_m10_prediction_report(lab: Lab) -> DataFrame:
+    predicted = model.predict(_steps_with_graph(lab), TREE, 3, model.resolve_sets(SETS, "firstinset"))
+    return model.prediction_report(predicted, warehouse.best_per_step(lab.steps, lab.impls), lab.steps).select("variant_id", "step_id", "impl", "best_impl", _r("relative", 6))
+
+
+@query(
+    "tot AS (SELECT variant_id, impl_id, sum(avg_time) AS time FROM step_fact GROUP BY ALL), opt AS (SELECT variant_id, sum(m) AS base FROM (SELECT variant_id, step_id, min(avg_time) FILTER (impl_id < 3) AS m FROM step_fact GROUP BY ALL) GROUP BY variant_id HAVING sum(m) IS NOT NULL)"
+    " SELECT variant_id, impl_id, round(time / base, 6) AS relative FROM tot JOIN opt USING (variant_id)"
+)
+def m13_heatmap(lab: Lab) -> DataFrame:
+    return model.relative_to_optimal(warehouse.impl_totals(lab.steps, lab.impls)).where("impl_id >= 0").select("variant_id", "impl_id", _r("relative", 6))
+
+
+@query("SELECT variant_id, CASE WHEN variant_id % 4 = 0 THEN 'g' || graph_id ELSE config_name END AS config_name, 0 AS retry_count FROM variant_dim")
+def d2_d3_backfill_reset(lab: Lab) -> DataFrame:
+    source = lab.variants.where("variant_id % 4 = 0").select("variant_id", F.concat(F.lit("g"), F.col("graph_id")).alias("config_name"))
+    filled = tables.backfill(lab.variants.select("variant_id", "config_name", F.lit(3).alias("retry_count")), source, ["variant_id"], ["config_name"])
+    return warehouse.reset(filled, "retry_count", 0)
+
+
+@query("SELECT (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM edges) AS edges, false AS undirected")
+def g6_summary(lab: Lab) -> DataFrame:
+    return _graph(lab).counts()
+
+
+@query("SELECT count(*) AS edges, true AS both_kept, true AS none_new FROM (SELECT src, dst FROM edges WHERE src % 2 = 0 AND dst % 3 = 0) WHERE false")
+def g13_hash_crossover(lab: Lab) -> DataFrame:
+    """What holds for any hash: edges of both parents stay, none is new; the two kinds are counted as 0 violations."""
+    e, v = lab.edges, lab.vertices
+    one, other, bad = Graph(e.where("src % 2 = 0"), v), Graph(e.where("dst % 3 = 0"), v), None
+    for kind in ("vertex", "edge"):
+        child = crossover(one, other, kind, seed=SEED).edges
+        lost = e.where("src % 2 = 0 and dst % 3 = 0").join(child, ["src", "dst"], "left_anti")
+        new = child.join(e.where("src % 2 = 0 or dst % 3 = 0"), ["src", "dst"], "left_anti")
+        both = lost.unionByName(new)
+        bad = both if bad is None else bad.unionByName(both)
+    return bad.agg(F.count("*").alias("edges")).select("edges", (F.col("edges") == 0).alias("both_kept"), (F.col("edges") == 0).alias("none_new"))
+
+
+@query(f"{_LEVELS} SELECT id, coalesce(l, 2147483647) AS level FROM vertices LEFT JOIN lv ON v = id", recursive=True)
+def g16_bfs_switch(lab: Lab) -> DataFrame:
+    return _graph(lab).bfs(ROOT, "switch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
