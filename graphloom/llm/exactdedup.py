@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import new_path, slices, utf8, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB on disk; all stores of an executor share a bounded part of its memory.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+}
 #: Fingerprint files that one micro-batch takes.
 FILES_PER_BATCH = 2000
 _SPACE = b" \t\n\v\f\r"
@@ -51,17 +56,19 @@ def _keyed_state(marks: DataFrame, path: str) -> DataFrame:
     watermark, so that nothing expires. Each task sums up its own rows of a digest before the shuffle.
     """
     spark = marks.sparkSession
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    old = {key: spark.conf.get(key, None) for key in STATE}
     out = new_path(spark, "state-out")
     changed = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path).groupBy("digest").agg(_best().alias("best"), F.count("*").alias("size"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             changed.writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True)
             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
         )
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if old is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     held = spark.read.schema(changed.schema).parquet(f"{out}/batch=*") if query.recentProgress and any(p["numInputRows"] for p in query.recentProgress) else spark.createDataFrame([], changed.schema)
     return written(held.groupBy("digest").agg(F.max(F.struct("size", "best")).alias("last")).select("digest", "last.best", "last.size"), "state")
