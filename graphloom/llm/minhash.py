@@ -17,6 +17,8 @@ from graphloom.llm.components import components
 #: 36 bands of 4 minima miss a pair of similarity 0.85 with probability 3e-12, of 0.8 with 6e-9.
 BANDS, ROWS = 36, 4
 MEMORY_WORDS = 400_000
+#: Classes and bytes of shingles in a block, about.
+BLOCK, BLOCK_BYTES = 128, 2 << 20
 #: A pair is confirmed unless its signature lies this many standard deviations under the threshold.
 DEVIATIONS = 7
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -118,31 +120,93 @@ def _alike(pairs: DataFrame, classes: DataFrame, threshold: float, hashes: int)
     return joined.mapInArrow(work, "a long, tha long, b long, thb long")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) whose full shingle sets reach the threshold."""
-    asked = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("tha").alias("th")), F.struct(F.col("b").alias("k"), F.col("thb").alias("th")))).alias("x")).select("x.*").distinct()
-    texts = written(rows.select("k", "th", "text").join(written(asked, "asked"), ["k", "th"]).dropDuplicates(["k", "th"]), "texts")
-    free_shuffles(rows.sparkSession)
+def _sets(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(k, th, shingles) of the asked rows. Always a shuffle: what is asked for grows with the corpus."""
 
     def work(batches):
-        shingler, last, hub = Shingler(width), None, None
+        shingler = Shingler(width)
         for batch in slices(batches, 2):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingler.shingles(t).tobytes() for t in utf8(batch.column(2))], pa.binary())], ["k", "th", "shingles"])
+
+    found = rows.select("k", "th", "text").join(asked.hint("merge"), ["k", "th"])
+    return written(found.mapInArrow(work, "k long, th long, shingles binary").dropDuplicates(["k", "th"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose full shingle sets reach the threshold."""
+
+    def work(batches):
+        for batch in batches:
             keep = []
-            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                if y != last:
-                    last, hub = y, shingler.shingles(y)
-                mine = shingler.shingles(x)
-                both = len(np.intersect1d(mine, hub, assume_unique=True))
-                keep.append(100 * both >= percent * (len(mine) + len(hub) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"])
-
-    one = texts.select(F.col("k").alias("a"), F.col("th").alias("tha"), F.col("text").alias("ta"))
-    other = texts.select(F.col("k").alias("b"), F.col("th").alias("thb"), F.col("text").alias("tb"))
-    joined = pairs.join(one, ["a", "tha"]).join(other, ["b", "thb"]).select("a", "b", "ta", "tb")
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                mine, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    one = sets.select(F.col("k").alias("a"), F.col("th").alias("tha"), F.col("shingles").alias("sa"))
+    other = sets.select(F.col("k").alias("b"), F.col("th").alias("thb"), F.col("shingles").alias("sb"))
+    joined = pairs.join(one, ["a", "tha"]).join(other, ["b", "thb"]).select("a", "b", "sa", "sb")
     return joined.mapInArrow(work, "a long, b long").distinct()
 
 
+def _links_between(one: list[dict], other: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links of members of two blocks (or one, if ``same``) that connect different labels; links within what is connected already are left out."""
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in (one if same else [*one, *other])]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(place, minlength=len(known)) > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[place]
+    table = np.zeros((len(sets), max(1, int(shared.sum()))), np.float32)
+    table[owner[keep], column[place[keep]]] = 1
+    at = 0 if same else len(one)
+    both = np.rint(table[: len(one)] @ table[at:].T).astype(np.int64)
+    size = np.array([len(x) for x in sets])
+    fits = 100 * both >= percent * (size[: len(one), None] + size[None, at:] - both)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    right = one if same else other
+    for i, j in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
+        x, y = find(one[i]["label"]), find(right[j]["label"])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((one[i]["k"], right[j]["k"]))
+    return out
+
+
+def _rest(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across labels among rows (k, th, label, hub) of buckets that hold several labels.
+
+    Rows that buckets tie together form a family; families are cut into blocks of bounded size, and every pair of a family's blocks is compared at once
+    as a matrix product over full sets. Rows of the tables are blocks, never pairs of documents; each pair of blocks is its own row, so that a large
+    family is spread over many tasks.
+    """
+    ties = components(open_rows.select(F.col("k").alias("a"), F.col("hub").alias("b")))
+    members = open_rows.select("k", "th", "label").distinct().join(ties.withColumnRenamed("node", "k"), "k", "left").withColumn("family", F.coalesce("component", "k")).drop("component")
+    members = written(members.join(sets, ["k", "th"]), "family")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    sizes = written(sizes.where("x <> y").select("family", "n"), "families")
+    blocks = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("k", "th"), F.col("n")).cast("int"))
+    blocks = written(blocks.groupBy("family", "n", "block").agg(F.collect_list(F.struct("k", "label", "shingles")).alias("rows")), "blocks")
+    low = blocks.select("family", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("n") - 1)).alias("j"), F.col("rows").alias("one"))
+    high = blocks.select("family", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rows").alias("other"))
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _links_between(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(0)[i].as_py() == batch.column(1)[i].as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return low.join(high, ["family", "i", "j"]).select("i", "j", "one", "other").mapInArrow(work, "a long, b long")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """For every row: k, th (its row key), doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
@@ -151,9 +215,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Rows without an id are linked with nothing (component_id null, kept). Rows that share an id are one document and unite its links.
     Other columns play no part.
 
-    Rows with equal sets form a class that one row stands for. In every band each class is paired with the bucket's smallest; signatures, then
-    full sets decide. In buckets that still hold several components, the pairs across components are judged too, so that no pair that
-    meets in a bucket goes unjudged unless it is connected already. Very similar groups thus cost a few pairs per member, not all pairs.
+    Rows with equal sets form a class that one row stands for. Each class is paired with the smallest of its buckets' smallest members; signatures,
+    then full sets decide. Buckets that still hold several components are compared whole, in blocks, so that no pair that meets in a bucket
+    goes unjudged unless it is connected already. Groups of copies cost one pair per member and a few blocks, not all pairs.
     """
     rows = docs.select(*row_key(doc_id, text), docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
     threshold, hashes = percent / 100, bands * rows_per_band
@@ -161,29 +225,29 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     linked = sketches.where("digest is not null and doc_id is not null")
     classes = linked.groupBy("digest").agg(F.min(F.struct("k", "th", "bands", "signature")).alias("c"))
     classes = written(classes.select("digest", "c.*"), "classes")
-    members = classes.select("k", F.explode("bands").alias("bucket"))
+    members = classes.select("k", "th", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("k").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(members.join(buckets, "bucket"), "members")
+    members = written(members.join(buckets.drop("n"), "bucket"), "members")
     free_shuffles(docs.sparkSession)
-    first = members.where("k <> hub").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = written(_confirmed(written(_alike(first, classes, threshold, hashes), "pairs"), rows, width, percent), "links")
+    sets = _sets(rows, members.select("k", "th").distinct(), width)
+    free_shuffles(docs.sparkSession)
+    # First each class against the smallest of all its hubs.
+    first = members.where("k <> hub").groupBy("k").agg(F.min("hub").alias("b")).withColumnRenamed("k", "a")
+    edges = _confirmed(written(_alike(first, classes, threshold, hashes), "pairs"), sets, percent)
     # Ids whose rows fall into several classes tie these together.
     torn = linked.groupBy("k").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("k")
     ties = linked.join(torn, "k").join(classes.select("digest", F.col("k").alias("of")), "digest").select(F.col("k").alias("a"), F.col("of").alias("b"))
     edges = written(edges.unionByName(ties), "links")
     found = components(edges)
-    # What the hubs left apart.
-    labelled = members.where("n > 2 and k <> hub").join(found.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("label"))
+    # Then what the buckets still hold apart.
+    labelled = members.join(found.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", "th", "hub", F.coalesce("component", "k").alias("label"))
     labelled = written(labelled, "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
-    open_rows = written(labelled.join(mixed, "bucket"), "open")
-    other = open_rows.select("bucket", F.col("k").alias("b"), F.col("label").alias("other"))
-    second = open_rows.withColumnRenamed("k", "a").join(other, "bucket").where("label < other").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = written(_alike(second, classes, threshold, hashes), "pairs")
-    if not second.isEmpty():
-        more = written(_confirmed(second, rows, width, percent), "links")
-        if not more.isEmpty():
-            found = components(edges.unionByName(more))
+    open_rows = written(labelled.join(mixed, "bucket").select("k", "th", "hub", "label").distinct(), "open")
+    free_shuffles(docs.sparkSession)
+    more = written(_rest(open_rows, sets, percent), "links")
+    if not more.isEmpty():
+        found = components(edges.unionByName(more))
     placed = classes.select("digest", F.col("k").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = linked.select("k", "th", "doc_id", "n_shingles", "digest").join(written(placed, "placed"), "digest").select("k", "th", "doc_id", "n_shingles", F.col("component").alias("component_id"))
     rest = sketches.where("digest is null or doc_id is null").select("k", "th", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
