@@ -9,15 +9,18 @@ from graphloom.llm.bpe import decode, encode
 from graphloom.llm.common import written
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.exactdedup import drop_exact_copies
-from graphloom.llm.langid import UNDETERMINED, crc_mod, identify, learn_filters
+from graphloom.llm.langid import LEAST_KNOWN, UNDETERMINED, crc_mod, identify, learn_filters
 from graphloom.llm.minhash import drop_near_copies
 from graphloom.llm.queries import vocabulary_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: documents without a determinable language go. Learnt from the labelled rows whose crc32(doc_id) mod 4 is not 2."""
+    """Language identification: documents whose predicted language explains less than LEAST_KNOWN of their n-grams go, and those without a letter. Learnt from the labelled rows whose crc32(doc_id) mod 4 is not 2; where there are none, all documents stay."""
     filters = learn_filters(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return identify(docs, filters, prediction="lang_pred", score="lang_score").where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    if not filters.languages:
+        return docs
+    found = identify(docs, filters, prediction="lang_pred", score="lang_score", known="lang_known")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_known") >= LEAST_KNOWN)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import brute_copies, brute_groups, brute_hits
 
@@ -28,3 +30,13 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_texts_in_no_known_language_go(spark):
+    learnt = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["xqzvk wjjfq pplkt zzrtq vbnmx qwrtp lkjhg fdszx", "Это простой текст на русском языке о погоде", "今日は天気がいいですね", "ÃƒÂ©tÃ© Ã¢â‚¬â„¢ Ã…â€œuvre Ã‚Â«", "Dit is een eenvoudige Nederlandse zin over het weer van vandaag", "1234 5678"]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)], learnt.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, learnt.unionByName(rows), SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in learnt.select("doc_id").collect()}
+    unlabelled = learnt.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.known_language(spark, unlabelled, SF).count() == learnt.count()
