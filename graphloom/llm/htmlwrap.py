@@ -1,27 +1,30 @@
 """Main text of web pages by wrapper inference: a union-free regular expression for the pages of each host.
 
-Pages become balanced token streams (block tags and text runs). Streams of a host's sampled pages are aligned one after the other: equal tags
+Pages become balanced token streams (block tags and text runs). Streams of all distinct pages of a host are aligned: equal tags
 match, adjacent copies of a tag become a repeated group, tags that only one side has become an optional group, texts that differ become a slot. The
 wrapper then says which slots hold the article; every page of the host is read with it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import extended, slices, written
 from graphloom.llm.urlrules import split_url
 
-#: Pages of a host that its wrapper is inferred from, and the size of all wrappers up to which they are broadcast.
-SAMPLE, BROADCAST_BYTES = 8, 32 << 20
+#: Parts that a host's pages are dealt into by their digest, each aligned on its own first, and the size of all wrappers up to which they are broadcast.
+PARTS, BROADCAST_BYTES = 64, 32 << 20
+#: Longer constant texts are kept as digests. Pages of a task that are remembered, so that their copies are not sent on.
+LONGEST_CONSTANT, REMEMBERED = 40, 200_000
 #: Depth of a page's tree; deeper tags count as markup of the text around them.
 DEEPEST = 60
 
@@ -128,6 +131,11 @@ def parse(page: str) -> Node:
     return root
 
 
+def _mark(text: str) -> str:
+    """A text, or of a long one its digest."""
+    return text if len(text) <= LONGEST_CONSTANT else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=24).hexdigest()
+
+
 def around(tag: str, words) -> bool:
     """Whether a tag stands for what surrounds an article."""
     return tag in _AROUND_TAGS or bool(words & _AROUND_WORDS) and tag not in ("html", "body", "#root", "article", "main")
@@ -150,7 +158,7 @@ class Wrapper:
 
     @classmethod
     def of(cls, node: Node) -> Wrapper:
-        out = cls(node.tag, node.words & (_AROUND_WORDS | _MAIN_WORDS), node.label, constant=node.text if node.tag == "#" else None, chars=len(node.text), linked=node.linked)
+        out = cls(node.tag, node.words & (_AROUND_WORDS | _MAIN_WORDS), node.label, constant=_mark(node.text) if node.tag == "#" else None, chars=len(node.text), linked=node.linked)
         for child in node.children:
             made = cls.of(child)
             if out.children and out.children[-1].label == made.label:
@@ -169,9 +177,10 @@ class Wrapper:
         self.repeated |= other.repeated
         self.optional |= other.optional
         a, b = self.children, other.children
+        start = next((k for k, (x, y) in enumerate(zip(a, b)) if x.label != y.label), min(len(a), len(b)))
         longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
+        for i in range(len(a) - 1, start - 1, -1):
+            for j in range(len(b) - 1, start - 1, -1):
                 longest[i][j] = longest[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(longest[i + 1][j], longest[i][j + 1])
         out, i, j = [], 0, 0
         while i < len(a) or j < len(b):
@@ -228,14 +237,26 @@ class Wrapper:
         return [self.label, int(self.main), fixed, [c.packed(pages) for c in self.children]]
 
 
-def infer(pages: list[str]) -> str:
-    """The wrapper of a host's sampled pages."""
-    trees = [Wrapper.of(parse(p)) for p in dict.fromkeys(pages)]
-    whole = trees[0]
-    for t in trees[1:]:
-        whole.align(t)
-    whole.choose()
-    return json.dumps(whole.packed(len(trees)), ensure_ascii=False, separators=(",", ":"))
+    def plain(self) -> list:
+        """As JSON, whole: other wrappers can still be aligned with it."""
+        return [self.tag, sorted(self.words), int(self.repeated), int(self.optional), self.constant, self.chars, self.linked, [c.plain() for c in self.children]]
+
+    @classmethod
+    def again(cls, x: list) -> Wrapper:
+        return cls(x[0], frozenset(x[1]), " ".join([x[0], *x[1]]), [cls.again(c) for c in x[7]], bool(x[2]), bool(x[3]), x[4], x[5], x[6])
+
+
+def _json(x: list) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def merged(trees: list[Wrapper]) -> Wrapper:
+    """One wrapper of several, which are used up: neighbours are aligned, then what came of them."""
+    while len(trees) > 1:
+        for a, b in zip(trees[::2], trees[1::2]):
+            a.align(b)
+        trees = trees[::2]
+    return trees[0]
 
 
 def _blocks(node: Node, wrapper: list | None, inside: bool, heading: bool, out: list[str]) -> None:
@@ -252,7 +273,7 @@ def _blocks(node: Node, wrapper: list | None, inside: bool, heading: bool, out:
             at = found
         part = known[found] if found is not None else None
         if child.tag == "#":
-            fixed = part is not None and part[2] is not None and part[2] == child.text
+            fixed = part is not None and part[2] is not None and part[2] == _mark(child.text)
             menu = linked and child.linked > 0.8 * len(child.text) and node.tag in ("li", "div", "td", "ul")
             if inside and not menu and (not fixed or heading):
                 out.append(child.text)
@@ -279,28 +300,67 @@ def extract(page: str, wrapper: str | None) -> str:
     return "\n\n".join(out)
 
 
-def wrappers(pages: DataFrame, url: str = "url", page: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper) of each host, from ``sample`` of its pages chosen by a hash. Each task keeps that many of a host before the shuffle, so that a very frequent host does no harm."""
-    host, _ = split_url(pages[f"`{url}`"])
-    rows = pages.select(host.alias("host"), pages[f"`{page}`"].alias("page")).where("page is not null").withColumn("place", F.xxhash64("page"))
-    some = rows.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("place"))).where(F.col("n") <= sample)
-    grouped = some.groupBy("host").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, wrapper) of each host, from all its distinct pages.
 
-    def work(batches):
+    Only the pages' trees are shuffled, dealt by host and digest, so that a very frequent host does no harm; a part's trees are aligned in the order
+    of their digests and the parts of a host in theirs, so that the result does not depend on how the rows lie.
+    """
+    host, _ = split_url(pages[f"`{url}`"])
+    rows = pages.select(host.alias("host"), pages[f"`{page}`"].alias("page")).where("page is not null")
+
+    def trees(batches):
+        seen: set = set()
+        for batch in slices(batches, 1):
+            found = []
+            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digest = hashlib.blake2b(p.encode(), digest_size=16).digest()
+                if (h, digest) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add((h, digest))
+                    found.append((h, digest[0] % PARTS, digest, _json(Wrapper.of(parse(p)).plain())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.string(), pa.int32(), pa.binary(), pa.string()))], ["host", "part", "digest", "tree"])
+
+    def aligned(batches):
+        key, last, whole, n = None, None, None, 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([_json(whole.plain())], pa.string())], ["host", "part", "n", "tree"])
+        for batch in batches:
+            for h, part, digest, tree in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != (h, part):
+                    if key:
+                        yield out()
+                    key, last, whole, n = (h, part), None, None, 0
+                if digest != last:
+                    made = Wrapper.again(json.loads(tree))
+                    whole.align(made) if whole else None
+                    whole, last, n = whole or made, digest, n + 1
+        if key:
+            yield out()
+
+    def finished(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([infer(p) for p in batch.column(1).to_pylist()], pa.string())], ["host", "wrapper"])
+            found = []
+            for parts in batch.column(1).to_pylist():
+                whole = merged([Wrapper.again(json.loads(x["tree"])) for x in parts])
+                whole.choose()
+                found.append(_json(whole.packed(sum(x["n"] for x in parts))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "wrapper"])
 
-    return written(grouped.mapInArrow(work, "host string, wrapper string"), "wrappers")
+    dealt = rows.mapInArrow(trees, "host string, part int, digest binary, tree string").repartition("host", "part").sortWithinPartitions("host", "part", "digest")
+    parts = dealt.mapInArrow(aligned, "host string, part int, n long, tree string")
+    grouped = parts.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("part", "n", "tree"))).alias("parts"))
+    return written(grouped.mapInArrow(finished, "host string, wrapper string"), "wrappers")
 
 
-def main_texts(pages: DataFrame, url: str = "url", page: str = "html", output: str = "text", sample: int = SAMPLE) -> DataFrame:
+def main_texts(pages: DataFrame, url: str = "url", page: str = "html", output: str = "text") -> DataFrame:
     """Adds ``output``, the main text of every page: its blocks in page order, joined by two newlines.
 
-    Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, and blocks that all sampled pages of a
+    Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, and blocks that all pages of a
     host share. Null and empty pages give an empty text; pages without a host form one group. Repeated rows stay. Other columns stay; one
     named ``output`` is replaced (``__host`` and ``__wrapper`` are reserved).
     """
-    made = wrappers(pages, url, page, sample).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+    made = wrappers(pages, url, page).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
     size = made.agg(F.sum(F.octet_length("__wrapper"))).first()[0] or 0
     host, _ = split_url(F.col(f"`{url}`"))
     kept = [c for c in pages.columns if c != output]

@@ -84,6 +84,17 @@ def test_wrapper_has_groups_and_slots():
     assert h1.children[0].constant is None and p.repeated and ul.optional and not h1.optional
 
 
+def test_wrapper_takes_in_all_distinct_pages(spark):
+    tags = "ul ol dl table pre blockquote figure section address h3 h4 details".split()
+    html = "<body><div><h2>Title {0}</h2><p>Text {0} of the article</p><{1}>some {0}</{1}></div></body>"
+    rows = [(f"http://h.example/{i}", html.format(i, t)) for i, t in enumerate(tags)] + [(f"http://h.example/c{i}", html.format("copy", "ul")) for i in range(20)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    (one,), (two,) = htmlwrap.wrappers(pages.repartition(1)).collect(), htmlwrap.wrappers(pages.repartition(5)).collect()
+    assert one == two and all(f'["{t}",' in one["wrapper"] for t in tags)
+    copies = htmlwrap.wrappers(pages.where("url like '%/c%'")).first()["wrapper"]
+    assert "Text copy" not in copies
+
+
 # 3
 
 
