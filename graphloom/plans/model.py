@@ -23,6 +23,10 @@ class TreeNode:
     right: int
 
 
+#: Spark's trainer grows no deeper tree.
+DEEPEST = 30
+
+
 def tree_column(tree: Sequence[TreeNode], at: int = 0) -> Column:
     """The tree's answer as one expression. A negative answer names a set of implementations that the tree could not tell apart."""
     node = tree[at]
@@ -137,20 +141,28 @@ def accepted(diff: DataFrame) -> bool:
     return not worst["n"] or (worst["rel"] < 0.05 and worst["n"] <= 2)
 
 
-def train_tree(rows: DataFrame, features: list[str], label: str, depth: int = 5, seed: int = 42) -> tuple[list[TreeNode], dict[str, float]]:
-    """A decision tree and its feature importances, learnt by Spark's distributed trainer. A leaf's label counts as ambiguous in no case: ties go to the smaller id."""
+def train_tree(rows: DataFrame, features: list[str], label: str, depth: int = DEEPEST, seed: int = 42) -> tuple[list[TreeNode], dict[str, float], dict[int, list[int]], dict[int, int]]:
+    """A decision tree, its feature importances, its unknown sets and each one's number of leaves, learnt by Spark's distributed trainer.
+
+    A leaf where no label has more than half of the rows answers with a negative set id: the set holds all labels of its rows, and ids run from 2 in
+    order of the levels. The trainer joins leaves of equal most frequent label before that.
+    """
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double")))
     fitted = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", maxDepth=depth, seed=seed).fit(vectors)
     nodes: list[TreeNode] = []
+    unclear: dict[int, tuple[int, ...]] = {}
 
     def add(node) -> int:
         at = len(nodes)
         nodes.append(TreeNode(0.0, "", -1, -1))
         if node.numDescendants() == 0:
             nodes[at] = TreeNode(0.0, "", -1, int(node.prediction()))
+            rows_of = list(node.impurityStats().stats())
+            if 2 * max(rows_of) <= sum(rows_of):
+                unclear[at] = tuple(k for k, n in enumerate(rows_of) if n)
         else:
             s = node.split()
             left = add(node.leftChild())
@@ -158,7 +170,22 @@ def train_tree(rows: DataFrame, features: list[str], label: str, depth: int = 5,
         return at
 
     add(fitted._java_obj.rootNode())
-    return nodes, dict(zip(features, fitted.featureImportances.toArray().tolist(), strict=True))
+    ids: dict[tuple[int, ...], int] = {}
+    leaves: dict[int, int] = {}
+    level = [0]
+    while level:
+        for at in level:
+            if at in unclear:
+                found = ids.setdefault(unclear[at], len(ids) + 2)
+                leaves[found] = leaves.get(found, 0) + 1
+                nodes[at] = TreeNode(0.0, "", -1, -found)
+        level = [to for at in level if nodes[at].left != -1 for to in (nodes[at].left, nodes[at].right)]
+    return nodes, dict(zip(features, fitted.featureImportances.toArray().tolist(), strict=True)), {i: list(members) for members, i in ids.items()}, leaves
+
+
+def unknown_report(sets: dict[int, list[int]], leaves: dict[int, int]) -> list[tuple[int, list[int], int]]:
+    """(set id, members, leaves) of a trained tree's unknown sets, by leaves, then by id."""
+    return sorted(((i, members, leaves[i]) for i, members in sets.items()), key=lambda x: (-x[2], x[0]))
 
 
 def prediction_report(predicted: DataFrame, best: DataFrame, steps: DataFrame) -> DataFrame:

@@ -594,7 +594,7 @@ def m15_output_diff(lab: Lab) -> DataFrame:
 def m8_train_tree(lab: Lab) -> DataFrame:
     """Rows-only: the trained tree's nodes."""
     rows = warehouse.best_per_step(lab.steps, lab.impls).join(lab.variants.select("variant_id", "graph_id"), "variant_id")
-    tree, _ = model.train_tree(rows, ["step_id", "graph_id"], "best_impl", 3)
+    tree, *_ = model.train_tree(rows, ["step_id", "graph_id"], "best_impl")
     return lab.spark.createDataFrame([(i, n.prop, n.threshold, n.left, n.right) for i, n in enumerate(tree)], "node long, prop string, threshold double, left long, right long")
 
 

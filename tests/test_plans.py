@@ -85,6 +85,15 @@ def test_unknown_sets():
     assert model.resolve_sets({2: [3, 1]}, "avg-min", {3: 0.5, 1: 0.7}) == {2: 3}
 
 
+def test_unclear_leaves_become_unknown_sets(spark):
+    rows = [(x, y) for x, ys in {0: [1, 1, 1], 1: [2, 3], 2: [4, 4, 4, 2], 3: [0, 4]}.items() for y in ys for _ in range(3)]
+    tree, _, sets, leaves = model.train_tree(spark.createDataFrame(rows, "x long, y long"), ["x"], "y")
+    answer = {r["x"]: r["a"] for r in spark.range(4).withColumnRenamed("id", "x").select("x", model.tree_column(tree).alias("a")).collect()}
+    assert answer[0] == 1 and answer[2] == 4 and answer[1] < -1 and answer[3] < -1
+    assert sets == {-answer[1]: [2, 3], -answer[3]: [0, 4]} and set(sets) == {2, 3} and leaves == {2: 1, 3: 1}
+    assert model.unknown_report({2: [1], 3: [4]}, {2: 1, 3: 5}) == [(3, [4], 5), (2, [1], 1)]
+
+
 def test_prediction_is_carried_forward(spark):
     tree = [model.TreeNode(1.0, "x", 1, 2), model.TreeNode(0, "", -1, -2), model.TreeNode(0, "", -1, 9)]
     rows = spark.createDataFrame([(1, 0, 0.0), (1, 1, 5.0), (1, 2, 0.0)], "variant_id long, step_id long, x double")
