@@ -19,7 +19,8 @@ UNKNOWN = 1 << 40
 class PieceCounter:
     """Greedy word-piece lengths of words given as bytes, without building the pieces.
 
-    ``first`` holds pieces that may begin a word, ``rest`` those that may follow. A word that can't be covered counts as one unknown piece.
+    ``first`` holds pieces that may begin a word, ``rest`` those that may follow. An empty piece in ``first`` begins a word that no
+    other does, and counts as one. A word that can't be covered counts as one unknown piece.
     Every byte is read once; each failure step gives up at least one byte of the pending prefix, so time is linear in the word.
     """
 
@@ -38,6 +39,8 @@ class PieceCounter:
                 piece[at] |= at > 1
         self.fail = [-1] * len(self.child)
         self.popped = [0] * len(self.child)
+        if b"" in first:
+            self.fail[0], self.popped[0] = 1, 1
         level = [0, 1]
         while level:  # by depth, so that links of shorter prefixes are known
             below = []
@@ -73,7 +76,7 @@ class PieceCounter:
 
 
 def pieces_of(path: str) -> tuple[list[bytes], list[bytes]]:
-    """A byte-level vocabulary read as word pieces: those that begin with a space may begin a word, the others may follow."""
+    """A byte-level vocabulary read as word pieces: those that begin with a space may begin a word (the space alone as an empty piece), the others may follow."""
     from graphloom.llm.bpe import _byte_symbols
 
     to_byte = {s: b for b, s in enumerate(_byte_symbols())}
@@ -83,7 +86,7 @@ def pieces_of(path: str) -> tuple[list[bytes], list[bytes]]:
     spec = json.loads(text)
     special = {t["content"] for t in spec.get("added_tokens", [])}
     plain = [bytes(to_byte[c] for c in s) for s in spec["model"]["vocab"] if s not in special]
-    return [p[1:] for p in plain if p[:1] == b" " and len(p) > 1], [p for p in plain if p and not set(p) & set(b" \t\n\v\f\r")]
+    return [p[1:] for p in plain if p[:1] == b" " and not set(p[1:]) & set(b" \t\n\v\f\r")], [p for p in plain if p and not set(p) & set(b" \t\n\v\f\r")]
 
 
 def token_counts(docs: DataFrame, first: list[bytes], rest: list[bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -119,6 +119,21 @@ def test_piece_counts_equal_greedy_matching():
             assert counter.count(w) == brute_pieces(w, first, rest), (first, rest, w)
 
 
+def test_bare_space_begins_words_without_another_first_piece():
+    counter = wordpiece.PieceCounter(*wordpiece.pieces_of(vocabulary_path()))
+    assert all(1 < counter.count(w.encode()) < wordpiece.UNKNOWN for w in "что это стол 한국 中文文本".split()) and counter.count(b"the") == 1
+    rng = random.Random(6)
+    for _ in range(100):
+        first = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 4))}
+        rest = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 8))}
+        counter = wordpiece.PieceCounter([b"", *first], rest)
+        for _ in range(40):
+            w = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 10)))
+            begun = any(w.startswith(f) for f in first)
+            want = brute_pieces(w, first, rest) if begun else brute_pieces(w, rest, rest) + 1
+            assert counter.count(w) == (want if want < wordpiece.UNKNOWN else 1 + wordpiece.UNKNOWN), (first, rest, w)
+
+
 def test_token_counts(spark):
     first, rest = wordpiece.pieces_of(vocabulary_path())
     rows = odd_texts()
