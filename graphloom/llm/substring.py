@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring dedup by anchored window hashing; no Lempel-Ziv factors are formed.
 
-The corpus is its own reference. It is cut into content-defined blocks: the windows of ``window`` words that share the least hash of their k-grams
-(the anchor) form a run, and the words under a run are a block. Equal windows have equal anchors, so a copy of a window lies under a block with
-the same anchor, and a text need only be parsed against the blocks of its own anchors, not against the whole corpus. Blocks that occur again
-chain up to factors, the longest that can be copied from elsewhere. Where a factor ends, its last block differs from the reference blocks of its
-anchor only in part: at these boundaries each window is looked up on its own.
+The corpus is cut into content-defined blocks: the windows of ``window`` words that share the least hash of their k-grams (the anchor) form a run,
+and the words under a run are a block. Equal windows have equal anchors, so a copy of a window lies under a block with the same anchor. Blocks that
+occur again are repeated whole. Under an anchor whose blocks differ, the windows of those that occur once, and of one copy of each other, are looked
+up on their own.
 """
 
 from __future__ import annotations
@@ -126,7 +125,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     counts = written(partly.groupBy("anchor", "block").agg(F.count("*").alias("copies")), "counts")
     partly = partly.join(counts, ["anchor", "block"])
     whole = whole.unionByName(partly.where("copies > 1").select("k", "th", F.col("start").alias("first"), end.alias("last")))
-    # At a factor's boundary: blocks that occur once, against one copy of each block that occurs more often.
+    # Window by window: blocks that occur once, against one copy of each block that occurs more often.
     one = partly.where("copies > 1").groupBy("anchor", "block").agg(*[F.first(c).alias(c) for c in ("k", "th", "start", "n")]).select("anchor", "k", "th", "start", "n")
     edges = partly.where("copies = 1").select("anchor", "k", "th", "start", "n").unionByName(one)
     edges = written(edges.groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs")), "edges")
