@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import decode, encode
+from graphloom.llm.bpe import round_trip
 from graphloom.llm.common import written
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.exactdedup import drop_exact_copies
@@ -40,8 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and whether they decode to the text."""
-    vocabulary = vocabulary_path()
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
+    coded = round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary_path())
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"), "token_ids")
 
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from graphloom.llm.common import extended, slices
+from graphloom.llm.common import extended, kept_in_worker, slices, tidy
 
 #: The pre-tokenizer's pattern, a fixed value of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,21 +46,32 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of every token id of a tokenizer file."""
+    to_byte = {s: b for b, s in enumerate(_byte_symbols())}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+    for s, i in spec["model"]["vocab"].items():
+        out[i] = s.encode() if s in special else bytes(to_byte[c] for c in s)
+    for s, i in special.items():
+        out[i] = s.encode()
+    return out
+
+
+def decoded_text(of: list[bytes], ids: Iterable[int]) -> str:
+    return b"".join([of[i] for i in ids]).decode("utf-8", errors="replace")
+
+
 class BpeModel:
     """A vocabulary with merges, read from the JSON text of a byte-level BPE tokenizer file."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
-        to_byte = {s: b for b, s in enumerate(_byte_symbols())}
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for s, i in vocab.items():
-            self.bytes_of[i] = s.encode() if s in self.special else bytes(to_byte[c] for c in s)
-        for s, i in self.special.items():
-            self.bytes_of[i] = s.encode()
+        self.bytes_of = token_bytes(spec)
+        size = len(self.bytes_of)
         self.byte_id = [vocab[s] for s in _byte_symbols()]
         self.rank = np.full(size, -1, np.int64)
         self.left = np.arange(size)
@@ -231,8 +242,7 @@ class BpeCoder:
             return [*map(self.memory.__getitem__, words)]
 
     def decode(self, ids: Iterable[int]) -> str:
-        of = self.model.bytes_of
-        return b"".join([of[i] for i in ids]).decode("utf-8", errors="replace")
+        return decoded_text(self.model.bytes_of, ids)
 
 
 class DigestCoder(BpeCoder):
@@ -260,24 +270,42 @@ def _vocabulary(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(text)
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", output: str = "token_ids") -> DataFrame:
-    """Adds ``output``, the token ids (array of int) of the whole ``text``.
+def _model(text: str) -> BpeModel:
+    return kept_in_worker("bpe", text, lambda: BpeModel(text))
 
-    Null and empty texts have no tokens. Every other column stays as it is, whatever its name; a column already named ``output`` is replaced.
-    Repeated rows stay repeated. Very long texts are worked on in runs of 100,000 words.
-    """
+
+def _coded(docs: DataFrame, vocabulary_path: str, text: str, made: dict[str, T.DataType], work_on) -> DataFrame:
+    """``docs`` with the columns ``made``, which ``work_on(coder, texts)`` gives as arrays for a slice of texts."""
     shared = _vocabulary(docs, vocabulary_path)
-    kept = [c for c in docs.columns if c != output]
+    kept = [c for c in docs.columns if c not in made]
     at = kept.index(text)
 
     def work(batches):
-        coder = BpeCoder(BpeModel(shared.value))
+        coder = BpeCoder(_model(shared.value), MEMORY_WORDS // 2)
         for batch in slices(batches, at, SLICE_BYTES):
-            ids = coder.encode_many([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, output])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work_on(coder, [t or "" for t in batch.column(at).to_pylist()])], [*batch.schema.names, *made])
 
     slim = docs.select(*[docs[f"`{c}`"] for c in kept])
-    return slim.mapInArrow(work, extended(slim.schema, **{output: T.ArrayType(T.IntegerType())}))
+    return slim.mapInArrow(tidy(work), extended(slim.schema, **made))
+
+
+def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", output: str = "token_ids") -> DataFrame:
+    """Adds ``output``, the token ids (array of int) of the whole ``text``.
+
+    Null and empty texts have no tokens. Every other column stays as it is, whatever its name; a column already named ``output`` is replaced.
+    Repeated rows stay repeated. Very long texts are worked on in runs of 100,000 words.
+    """
+    return _coded(docs, vocabulary_path, text, {output: T.ArrayType(T.IntegerType())}, lambda coder, texts: [pa.array(coder.encode_many(texts), pa.list_(pa.int32()))])
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", output: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """Adds ``output``, the token ids of the whole ``text``, and ``decoded``, the text that these ids stand for: ``encode`` and ``decode`` in one step. Null and odd rows are treated as by these."""
+
+    def both(coder: BpeCoder, texts: list[str]):
+        ids = coder.encode_many(texts)
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(coder.decode, ids), pa.string())]
+
+    return _coded(docs, vocabulary_path, text, {output: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, both)
 
 
 def decode(docs: DataFrame, vocabulary_path: str, ids: str = "token_ids", output: str = "decoded") -> DataFrame:
@@ -287,24 +315,25 @@ def decode(docs: DataFrame, vocabulary_path: str, ids: str = "token_ids", output
     at = kept.index(ids)
 
     def work(batches):
-        coder = BpeCoder(BpeModel(shared.value))
+        of = kept_in_worker("bpe bytes", shared.value, lambda: token_bytes(json.loads(shared.value)))
         for batch in batches:
-            texts = [coder.decode(x or ()) for x in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            texts = [decoded_text(of, column[i].as_py() or ()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, output])
 
     slim = docs.select(*[docs[f"`{c}`"] for c in kept])
-    return slim.mapInArrow(work, extended(slim.schema, **{output: T.StringType()}))
+    return slim.mapInArrow(tidy(work), extended(slim.schema, **{output: T.StringType()}))
 
 
 def round_trip_digests(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded in one pass. The workers keep their memory of words from task to task."""
     shared = _vocabulary(docs, vocabulary_path)
 
     def work(batches):
-        coder = DigestCoder(BpeModel(shared.value))
+        coder = kept_in_worker("bpe digests", shared.value, lambda: DigestCoder(_model(shared.value)))
         for batch in slices(batches, 1, SLICE_BYTES):
             found = [*coder.digests([t or "" for t in batch.column(1).to_pylist()])]
             n, ids, back = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.shared import drop_path, drop_written, new_path, shared_dir, written
 
-__all__ = ["drop_path", "drop_written", "extended", "free_shuffles", "lower_ascii", "new_path", "row_key", "shared_dir", "slices", "utf8", "written"]
+__all__ = ["drop_path", "drop_written", "extended", "free_shuffles", "kept_in_worker", "lower_ascii", "new_path", "row_key", "shared_dir", "slices", "tidy", "utf8", "written"]
 
 #: Characters that separate words and that normalisation deletes.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -38,10 +40,8 @@ def utf8(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``max_bytes`` in each; one row may be longer."""
     for batch in batches:
-        sizes = batch.column(column).cast(pa.binary() if pa.types.is_string(batch.column(column).type) else pa.large_binary())
         total, start = 0, 0
-        for i, n in enumerate(sizes):
-            n = len(n) if (n := n.as_buffer()) is not None else 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
             if total and total + n > max_bytes:
                 yield batch.slice(start, i - start)
                 total, start = 0, i
@@ -50,6 +50,32 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 <<
             yield batch.slice(start)
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def kept_in_worker(name: str, key, make: Callable):
+    """``make()``, remembered by the Python worker under ``name`` until asked for with another ``key``: tasks that follow need not make it again."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
+def tidy(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``, after which the worker gives its free memory back: workers outlive their tasks and share an executor's memory."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, nothing else; texts of ASCII alone take the shorter way."""
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

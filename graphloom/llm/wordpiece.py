@@ -8,7 +8,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import slices, utf8
+from graphloom.llm.common import kept_in_worker, slices, tidy, utf8
 
 MAX_VOCABULARY_BYTES = 64 << 20
 MEMORY_WORDS = 1_000_000
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, first: list[bytes], rest: list[bytes], doc_id:
     shared = docs.sparkSession.sparkContext.broadcast((first, rest))
 
     def work(batches):
-        counter = PieceCounter(*shared.value)
+        counter = kept_in_worker("pieces", shared.value, lambda: PieceCounter(*shared.value))
         memory: dict[bytes, int] = {}
         for batch in slices(batches, 1):
             n_words, n_tokens, n_unknown = [], [], []
@@ -117,4 +117,4 @@ def token_counts(docs: DataFrame, first: list[bytes], rest: list[bytes], doc_id:
                 n_unknown.append(total // UNKNOWN)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(work), "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -332,12 +332,28 @@ def test_languages_of_odd_texts(spark):
 def test_filters_hold_all_their_grams():
     grams = {"a": np.arange(1, 5000) * 7919, "b": np.arange(1, 5000) * 104729}
     filters = langid.LanguageFilters.build({k: v % 2**32 for k, v in grams.items()})
-    found = None
-    for places in langid._places((grams["b"] % 2**32).astype(np.uint32)):
-        found = filters.table[places] if found is None else found & filters.table[places]
+    (found,) = filters.masks((grams["b"] % 2**32).astype(np.uint32))
     assert (found & 2).all() and (found & 1).mean() < 0.02
 
 
+def test_more_languages_than_bits(spark):
+    grams = {f"l{i:03}": np.arange(1, 200) * (7919 + 2 * i) % 2**32 for i in range(130)}
+    filters = langid.LanguageFilters.build(grams)
+    assert len(filters.tables) == 3
+    for i in (0, 63, 64, 129):
+        found = filters.masks(grams[f"l{i:03}"].astype(np.uint32))
+        assert ((found[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).all() and filters.wrong[i] < 1e-6
+    rows = [(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x6E00 + i)} wort{i}", f"x{i:03}") for i in range(80)]
+    learnt = langid.learn_filters(spark.createDataFrame(rows, "text string, lang string"))
+    got = langid.identify(docs(spark, *enumerate(t for t, _ in rows)), learnt).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == [x for _, x in rows]
+
+
+def test_languages_with_equal_evidence(spark):
+    learnt = langid.learn_filters(spark.createDataFrame([("same text", "b"), ("same text", "a")], "text string, lang string"))
+    assert [(r["lang_pred"], r["score"]) for r in langid.identify(docs(spark, (1, "same"), (1, "same")), learnt).collect()] == [("a", 0.5)] * 2
+
+
 # 9
 
 
