@@ -91,8 +91,57 @@ def test_wrapper_takes_in_all_distinct_pages(spark):
     pages = spark.createDataFrame(rows, "url string, html string")
     (one,), (two,) = htmlwrap.wrappers(pages.repartition(1)).collect(), htmlwrap.wrappers(pages.repartition(5)).collect()
     assert one == two and all(f'["{t}",' in one["wrapper"] for t in tags)
-    copies = htmlwrap.wrappers(pages.where("url like '%/c%'")).first()["wrapper"]
-    assert "Text copy" not in copies
+
+
+def test_nothing_inside_an_article_is_lost():
+    page = lambda n, more: f"<body><nav><a href=x>Home</a></nav><p>Outside text of page {n} that is far longer than the article is, and says nothing that matters to it</p><article><h1>No {n}</h1>{more}</article><footer>f {n}</footer></body>"
+    inside = {
+        "deep": "<div>" * 300 + "<nav>menu</nav><p>deep</p>" + "</div>" * 300 + "<p>after</p>",
+        "same": "<p>Same quoted paragraph.</p>",
+        "links": '<ul><li><a href="x">a link</a></li><li>none</li></ul>',
+        "words": "".join(f'<div class="{w}">{w} of the article</div>' for w in "warning tags search related reader alert".split()),
+    }
+    want = {"deep": ["deep", "after"], "same": ["Same quoted paragraph."], "links": ["a link", "none"], "words": [f"{w} of the article" for w in "warning tags search related reader alert".split()]}
+    for name, more in inside.items():
+        pages = [page(i, more.replace("article<", f"article {i}<")) for i in range(5)]
+        whole = htmlwrap.merged([htmlwrap.Wrapper.of(htmlwrap.parse(p)) for p in pages])
+        whole.choose(5)
+        for made in (None, htmlwrap._json(whole.packed(5))):
+            for i, p in enumerate(pages):
+                assert htmlwrap.extract(p, made).split("\n\n") == [f"No {i}"] + [t.replace("of the article", f"of the article {i}") for t in want[name]]
+
+
+def test_long_pages_are_aligned_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    made = [htmlwrap.parse("<article>" + "".join(f"<h2>{i}</h2><p>{k} {i}</p>" + ("<ul><li>x</li></ul>" if i % 7 == k else "") for i in range(20_000 - k)) + "</article>") for k in range(3)]
+    whole = htmlwrap.merged([*map(htmlwrap.Wrapper.of, made)])
+    assert len(whole.children[0].children) < 60_000 and time.perf_counter() - began < 60
+    assert htmlwrap.extract("<div>" * 100_000 + "x" + "</section>" * 1000, None) == "x"
+
+
+def test_wrappers_accept_the_pages_they_were_inferred_from():
+    rng = random.Random(12)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["x", "y", "a longer text that stays the same everywhere", f"n{rng.randint(0, 99)}"])
+        tags = [rng.choice(["div", "ul", "section", 'div class="ad"', "h2"]) for _ in range(rng.randint(0, 5))]
+        return "".join(f"<{t}>{some(depth - 1)}</{t.split()[0]}>" for t in tags)
+
+    for _ in range(150):
+        trees = [htmlwrap.parse(f"<body>{some(3)}</body>") for _ in range(rng.randint(1, 6))]
+        whole = htmlwrap.merged([*map(htmlwrap.Wrapper.of, trees)])
+        assert all(map(whole.accepts, trees))
+    assert not whole.accepts(htmlwrap.parse("<main>no such tag</main>"))
+
+
+def test_repeated_and_odd_pages(spark):
+    same = PAGE.format("one")
+    rows = [(1, "http://h.example/1", same)] * 4 + [(2, "http://h.example/2", PAGE.format("two")), (None, None, same), (3, "http://h.example/3", "<article>" + "<p>long words</p>" * 30_000 + "</article>")]
+    got = htmlwrap.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 7 and len({r["text"] for r in got if r["page_id"] == 1}) == 1 and next(r for r in got if r["page_id"] == 3)["text"].count("long words") == 30_000
 
 
 # 3
