@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import extended, slices, utf8
+from graphloom.llm.common import extended, slices, tidy, utf8
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 8, 3, 6
 #: Words of a segment. A text is judged by its worst segment, so that length does not dilute an insult.
 SEGMENT = 8
-#: The model is learnt from about this many labelled rows of each class, of at most this many bytes each.
+#: The model is learnt from at most this many labelled rows of each class, of at most this many bytes each.
 ROWS_PER_CLASS, BYTES_PER_ROW = 3000, 12_000
 ROUNDS, STEPS, RATE, DECAY = 5, 20, 0.08, 2e-4
 MEMORY_WORDS = 400_000
@@ -186,19 +186,22 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * at / spread)
 
 
-def learn_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, bytes_per_row: int = BYTES_PER_ROW, seed: int = 7) -> ToxicityModel:
-    """A model from rows with a text and a label 0 or 1.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, bytes_per_row: int = BYTES_PER_ROW, seed: int = 7) -> ToxicityModel:
+    """A model from the texts of ``docs`` whose ids have a label 0 or 1 in ``labels``.
 
-    Learns from about ``rows_per_class`` texts of each class, chosen by a hash of the text among those of up to ``bytes_per_row`` bytes;
-    both bounds are the model's parameters, and what reaches the driver is at most their product. Without rows of both classes every score is 0.5
-    before calibration.
+    Learns from the texts of at most ``rows_per_class`` ids of each class, those with the least hashes, as far as they are of up to
+    ``bytes_per_row`` bytes; both bounds are the model's parameters. Ids are drawn from ``labels`` alone, so that only their texts are read from
+    ``docs`` and nothing else of it moves; what reaches the driver is at most two classes of these rows. Of several texts of an id the least one counts, of several labels the greatest.
+    Rows without an id, a text or a label 0 or 1 teach nothing. Without texts of both classes every score is 0.5 before calibration.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)").where(F.octet_length("text") <= bytes_per_row)
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    scale, share = 1 << 30, F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col("label") == name, int(scale * min(1.0, rows_per_class / n))).otherwise(share)
-    found = sorted((r["text"], r["label"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).collect()) if sizes else []
+    spark = docs.sparkSession
+    marks = labels.select(labels[f"`{doc_id}`"].cast("long").alias("id"), labels[f"`{label}`"].cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    chosen = {r["id"]: r["label"] for y in (0, 1) for r in marks.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class).collect()}
+    if len({*chosen.values()}) < 2:
+        return ToxicityModel(np.zeros(BUCKETS), 0.0, 1.0, 0.0)
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "id long"))  # two times rows_per_class at most
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), docs[f"`{text}`"].alias("text")).join(ids, "id").where(F.octet_length("text") <= bytes_per_row)
+    found = sorted((r["text"], chosen[r["id"]]) for r in rows.groupBy("id").agg(F.min("text").alias("text")).collect())
     if len({y for _, y in found}) < 2:
         return ToxicityModel(np.zeros(BUCKETS), 0.0, 1.0, 0.0)
     return _Trainer([t.encode() for t, _ in found], np.array([y for _, y in found]), seed).train()
@@ -207,6 +210,8 @@ def learn_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """Adds ``score`` (0 to 1, from the whole text alone) and ``predicted`` (1 if score >= 0.5).
 
+    A text's score is the model's for its worst segment of ``SEGMENT`` words, set on a probability by the model's ``scale`` and ``shift``.
+
     Null and empty texts get the score of a text without any evidence. Other columns stay; columns already so named are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.scale, model.shift))
@@ -220,4 +225,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text", s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array([int(x >= 0.5) for x in found], pa.int32())], [*batch.schema.names, score, predicted])
 
     slim = docs.select(*[docs[f"`{c}`"] for c in kept])
-    return slim.mapInArrow(work, extended(slim.schema, **{score: T.DoubleType(), predicted: T.IntegerType()}))
+    return slim.mapInArrow(tidy(work), extended(slim.schema, **{score: T.DoubleType(), predicted: T.IntegerType()}))

@@ -212,14 +212,36 @@ def test_toxicity_catches_unseen_spellings(spark):
         if bad := i % 3 == 0:
             for _ in range(rng.randint(1, 4)):
                 words.insert(rng.randrange(len(words)), rng.choice(rude))
-        rows.append((" ".join(words), int(bad)))
-    model = toxicity.learn_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
+        rows.append((i, " ".join(words), int(bad)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn_toxicity(table, table.drop("text"))
     made = docs(spark, (1, " ".join(plain[:80])), (2, " ".join(plain[:80]) + " you grumfles"), (3, None), (4, "")).withColumn("score", F.lit("clash"))
     got = {r["doc_id"]: r for r in toxicity.toxicity_scores(made, model).collect()}
     assert got[2]["score"] > got[1]["score"] and got[2]["predicted"] == 1 and got[1]["predicted"] == 0
     assert 0 <= got[3]["score"] <= 1 and got[3]["score"] == got[4]["score"]
-    empty = toxicity.learn_toxicity(spark.createDataFrame([], "text string, toxic int"))
-    assert empty.score(b"anything") == 0.5
+    empty = toxicity.learn_toxicity(table, table.limit(0))
+    assert empty.score(b"anything") == toxicity.learn_toxicity(table.limit(0), table).score(b"") == 0.5
+    assert toxicity.toxicity_scores(made.limit(0), model).count() == 0
+    long = toxicity.toxicity_scores(docs(spark, (1, " ".join(plain) * 500), (2, "x" * 300_000), (3, "grumfle"), (3, "grumfle")), model).collect()
+    assert len(long) == 4 and all(0 <= r["score"] <= 1 for r in long) and long[2] == long[3]
+
+
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity._Trainer, "train", lambda self: seen.append(self.labels.tolist()))
+    rows = [(1, "one hot text")] * 500 + [(i, f"text {i}") for i in range(2, 60)] + [(60, "long " * 5000), (61, None), (None, "no id")]
+    labels = [(i, i % 2) for i in range(1, 62)] + [(1, 0), (2, None), (None, 1), (3, 7)]
+    toxicity.learn_toxicity(docs(spark, *rows).withColumn("label", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, toxic int"), rows_per_class=40)
+    assert len(seen[0]) == 59 and sum(seen[0]) == 30
+    toxicity.learn_toxicity(docs(spark, *rows), spark.createDataFrame(labels, "doc_id long, toxic int"), rows_per_class=5)
+    assert len(seen[1]) <= 10
+
+
+def test_toxicity_of_held_out_rows(spark):
+    got = queries()["op4_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out and toxic is not null").select("score", "predicted", "toxic").collect()
+    score, toxic = np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got])
+    auc = (score[toxic == 1][:, None] > score[toxic == 0]).mean()
+    assert auc > 0.9 and np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.93
 
 
 # 5
