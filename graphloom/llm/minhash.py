@@ -8,17 +8,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import free_shuffles, row_key, slices, utf8, written
+from graphloom.llm.common import drop_written, free_shuffles, row_key, slices, tidy, utf8, written
 from graphloom.llm.components import components
 
 #: 36 bands of 4 minima miss a pair of similarity 0.85 with probability 3e-12, of 0.8 with 6e-9.
 BANDS, ROWS = 36, 4
 MEMORY_WORDS = 400_000
-#: Classes and bytes of shingles in a block, about.
-BLOCK, BLOCK_BYTES = 128, 2 << 20
 #: A pair is confirmed unless its signature lies this many standard deviations under the threshold.
 DEVIATIONS = 7
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -100,7 +98,7 @@ def _sketches(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFra
             n, digests, all_bands, signatures = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["k", "th", "doc_id", "n_shingles", "digest", "bands", "signature"])
 
-    return rows.mapInArrow(work, "k long, th long, doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
+    return rows.mapInArrow(tidy(work), "k long, th long, doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, threshold: float, hashes: int) -> DataFrame:
@@ -129,7 +127,7 @@ def _sets(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([shingler.shingles(t).tobytes() for t in utf8(batch.column(2))], pa.binary())], ["k", "th", "shingles"])
 
     found = rows.select("k", "th", "text").join(asked.hint("merge"), ["k", "th"])
-    return written(found.mapInArrow(work, "k long, th long, shingles binary").dropDuplicates(["k", "th"]), "sets")
+    return written(found.mapInArrow(tidy(work), "k long, th long, shingles binary").dropDuplicates(["k", "th"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,64 +145,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("k").alias("a"), F.col("th").alias("tha"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("k").alias("b"), F.col("th").alias("thb"), F.col("shingles").alias("sb"))
     joined = pairs.join(one, ["a", "tha"]).join(other, ["b", "thb"]).select("a", "b", "sa", "sb")
-    return joined.mapInArrow(work, "a long, b long").distinct()
-
-
-def _links_between(one: list[dict], other: list[dict], same: bool, percent: int) -> list[tuple[int, int]]:
-    """Links of members of two blocks (or one, if ``same``) that connect different labels; links within what is connected already are left out."""
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in (one if same else [*one, *other])]
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    known, place = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.bincount(place, minlength=len(known)) > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[place]
-    table = np.zeros((len(sets), max(1, int(shared.sum()))), np.float32)
-    table[owner[keep], column[place[keep]]] = 1
-    at = 0 if same else len(one)
-    both = np.rint(table[: len(one)] @ table[at:].T).astype(np.int64)
-    size = np.array([len(x) for x in sets])
-    fits = 100 * both >= percent * (size[: len(one), None] + size[None, at:] - both)
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    out = []
-    right = one if same else other
-    for i, j in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
-        x, y = find(one[i]["label"]), find(right[j]["label"])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((one[i]["k"], right[j]["k"]))
-    return out
+    return joined.mapInArrow(tidy(work), "a long, b long").distinct()
+
 
+def _least(n: Column, part: int, whole: int) -> Column:
+    """part * n / whole, rounded up."""
+    return F.floor((n * part + (whole - 1)) / whole).cast("long")
 
-def _rest(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across labels among rows (k, th, label, hub) of buckets that hold several labels.
 
-    Rows that buckets tie together form a family; families are cut into blocks of bounded size, and every pair of a family's blocks is compared at once
-    as a matrix product over full sets. Rows of the tables are blocks, never pairs of documents; each pair of blocks is its own row, so that a large
-    family is spread over many tasks.
+def prefix_pairs(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, tha, b, thb) of rows (k, th, label) of different labels among which is every one that reaches the threshold.
+
+    Shingles are put in one order: first those of a single label, which no such pair shares, then by the number of rows that hold them. The first
+    common shingle of a linked pair stands among the first n - ceil(t n) + 1 of each of its sets of n, and what follows it is long enough for the
+    overlap that the threshold asks for; so rows meet only in such shingles, in like sizes. Boilerplate that many rows hold comes last and brings
+    nothing together.
     """
-    ties = components(open_rows.select(F.col("k").alias("a"), F.col("hub").alias("b")))
-    members = open_rows.select("k", "th", "label").distinct().join(ties.withColumnRenamed("node", "k"), "k", "left").withColumn("family", F.coalesce("component", "k")).drop("component")
-    members = written(members.join(sets, ["k", "th"]), "family")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    sizes = written(sizes.where("x <> y").select("family", "n"), "families")
-    blocks = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("k", "th"), F.col("n")).cast("int"))
-    blocks = written(blocks.groupBy("family", "n", "block").agg(F.collect_list(F.struct("k", "label", "shingles")).alias("rows")), "blocks")
-    low = blocks.select("family", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("n") - 1)).alias("j"), F.col("rows").alias("one"))
-    high = blocks.select("family", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rows").alias("other"))
 
-    def work(batches):
+    def explode(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = _links_between(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(0)[i].as_py() == batch.column(1)[i].as_py(), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-    return low.join(high, ["family", "i", "j"]).select("i", "j", "one", "other").mapInArrow(work, "a long, b long")
+            found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            sizes = [len(x) for x in found]
+            k, th, label = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for i in range(3))
+            for i in range(0, len(k), 500_000):
+                to = slice(i, i + 500_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[to]) for x in (np.concatenate(found), k, th, label, np.repeat(sizes, sizes))], ["s", "k", "th", "label", "n"])
+
+    rows = open_rows.select("k", "th", "label").distinct().join(sets, ["k", "th"]).select("k", "th", "label", "shingles")
+    exploded = rows.mapInArrow(tidy(explode), "s long, k long, th long, label long, n long")
+    common = exploded.groupBy("s").agg(F.count("*").alias("rows"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s", "rows")
+    common = written(common, "common")
+    lists = exploded.join(common, "s").groupBy("k", "th", "label", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "s"))).alias("list"))
+    first = F.col("n") - F.size("list")  # shingles of a single label
+    prefix = lists.select("k", "th", "label", "n", first.alias("first"), F.posexplode(F.slice("list", F.lit(1), F.greatest(F.lit(0), F.col("n") - _least(F.col("n"), percent, 100) + 1 - first).cast("int"))).alias("i", "at"))
+    prefix = written(prefix.select(F.col("at.s").alias("s"), "k", "th", "label", "n", (F.col("first") + F.col("i")).alias("at")), "prefix")
+    mixed = written(prefix.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s"), "mixed")
+    prefix = prefix.join(mixed, "s")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    small = prefix.where(F.col("at") <= F.col("n") - _least(F.col("n"), 2 * percent, 100 + percent)).select("s", band.alias("band"), *[F.col(c).alias(f"{c}1") for c in ("k", "th", "label", "n", "at")])
+    large = prefix.select("s", F.explode(F.array(band - 2, band - 1, band)).alias("band"), *[F.col(c).alias(f"{c}2") for c in ("k", "th", "label", "n", "at")])
+    overlap = _least(F.col("n1") + F.col("n2"), percent, 100 + percent)
+    fits = (F.col("label1") != F.col("label2")) & ((F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("k1") < F.col("k2")))
+    fits = fits & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= overlap)
+    return small.join(large, ["s", "band"]).where(fits).select(F.col("k1").alias("a"), F.col("th1").alias("tha"), F.col("k2").alias("b"), F.col("th2").alias("thb")).distinct()
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (bucket, k, th, label) of ``members`` whose buckets hold several components."""
+    labelled = written(members.join(found.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", "th", F.coalesce("component", "k").alias("label")), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    out = written(labelled.join(written(mixed, "mixed"), "bucket"), "open")
+    drop_written(labelled)
+    return out
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
@@ -216,8 +208,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Other columns play no part.
 
     Rows with equal sets form a class that one row stands for. Each class is paired with the smallest of its buckets' smallest members; signatures,
-    then full sets decide. Buckets that still hold several components are compared whole, in blocks, so that no pair that meets in a bucket
-    goes unjudged unless it is connected already. Groups of copies cost one pair per member and a few blocks, not all pairs.
+    then full sets decide. The rows of buckets that still hold several components meet the last member of the last component there in the same
+    way. What then still lies in a bucket with another component goes through a prefix-filtered join over full sets, so that no pair that meets in a bucket
+    goes unjudged unless it is connected already. Groups of copies cost a pair or two per member and bucket, never all pairs.
     """
     rows = docs.select(*row_key(doc_id, text), docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
     threshold, hashes = percent / 100, bands * rows_per_band
@@ -239,13 +232,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     ties = linked.join(torn, "k").join(classes.select("digest", F.col("k").alias("of")), "digest").select(F.col("k").alias("a"), F.col("of").alias("b"))
     edges = written(edges.unionByName(ties), "links")
     found = components(edges)
-    # Then what the buckets still hold apart.
-    labelled = members.join(found.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", "th", "hub", F.coalesce("component", "k").alias("label"))
-    labelled = written(labelled, "labelled")
-    mixed = written(labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "mixed")
-    open_rows = written(labelled.join(mixed, "bucket").select("k", "th", "hub", "label").distinct(), "open")
+    # Then what the buckets still hold apart: against the last member, then by rare shingles.
+    apart = _labelled(members, found)
+    last = apart.groupBy("bucket").agg(F.max(F.struct("label", "k")).alias("last"))
+    second = apart.join(last, "bucket").where(F.col("label") != F.col("last.label")).select(F.col("k").alias("a"), F.col("last.k").alias("b")).distinct()
+    more = written(_confirmed(written(_alike(second, classes, threshold, hashes), "pairs"), sets, percent), "links")
+    if not more.isEmpty():
+        edges = written(edges.unionByName(more), "links")
+        found = components(edges)
+        apart = _labelled(apart.select("bucket", "k", "th"), found)
     free_shuffles(docs.sparkSession)
-    more = written(_rest(open_rows, sets, percent), "links")
+    third = written(prefix_pairs(apart, sets, percent).select("a", "b"), "pairs")
+    more = written(_confirmed(written(_alike(third, classes, threshold, hashes), "pairs"), sets, percent), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
     placed = classes.select("digest", F.col("k").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -293,6 +293,38 @@ def test_near_groups_equal_brute_force(spark, width, percent):
     assert kept.columns == made.columns and kept.where("doc_id is not null").select("doc_id").distinct().count() == len(set(want.values()))
 
 
+def open_rows(spark, texts, width=3):
+    """Rows and sets as ``prefix_pairs`` takes them, each row a label of its own."""
+    shingler = minhash.Shingler(width)
+    rows = [(i, i, i, bytearray(shingler.shingles(t.encode()).tobytes())) for i, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "k long, th long, label long, shingles binary")
+    return made.drop("shingles"), made.drop("label")
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    rng = random.Random(10)
+    base = [[f"w{i}_{rng.randint(0, 3)}" for i in range(rng.randint(3, 90))] for _ in range(12)]
+    texts = [" ".join(f"e{rng.random()}" if rng.random() < 0.03 else w for w in b[rng.randint(0, 2) : len(b) - rng.randint(0, 3)]) for b in base for _ in range(9)]
+    for percent in (85, 50):
+        got = {tuple(sorted(r)) for r in minhash.prefix_pairs(*open_rows(spark, texts), percent).select("a", "b").collect()}
+        sets = [set(minhash.Shingler(3).shingles(t.encode()).tolist()) for t in texts]
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert want and {(j, i) for i, j in want} <= got
+
+
+def test_boilerplate_does_not_bring_all_pairs(spark):
+    rng = random.Random(11)
+    shared = " ".join(f"b{i}" for i in range(200))
+    n = {}
+    for size in (1000, 4000):
+        texts = [shared + " " + " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(100)) + (" x" if i % 9 else "") for i in range(size)]
+        n[size] = minhash.prefix_pairs(*open_rows(spark, texts), 85).count()
+    assert n[4000] <= 4.5 * n[1000] + 10
+    pages = docs(spark, *enumerate([*texts[:500], texts[3] + " y"]))
+    got = minhash.near_groups(pages, width=3, percent=85).where("not kept").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in got] == [(500, 3)]
+
+
 def test_near_groups_of_nothing(spark):
     assert minhash.near_groups(docs(spark, (1, None)).limit(0)).count() == 0
 
