@@ -11,8 +11,8 @@ from graphloom.llm.common import lower_ascii, row_key, written
 
 #: Words of a window and of the k-grams whose least hash stands for it.
 WINDOW, GRAM = 10, 5
-#: Fingerprints or windows of the benchmark that are broadcast at most; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of the benchmark's fingerprints or windows that are broadcast at most; beyond that the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: What separates words once A-Z are lower-cased.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,8 +42,9 @@ def window_marks(words: Column, window: int = WINDOW, gram: int = GRAM) -> Colum
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (a written table of one column) marked for broadcast if it has few enough rows and bytes."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(df.columns[0]).cast("string"))), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -60,7 +61,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     short = sorted(r[0] for r in items.where(F.size("words") < window).select(F.size("words")).distinct().collect())  # at most window - 1 lengths
     lengths = F.least(F.size("words"), F.lit(window))
     grams = items.select("item_id", F.explode(F.transform(_sequence(F.size("words") - lengths + 1), lambda i: F.array_join(F.slice("words", i, lengths), " "))).alias("window"))
-    windows = _sized(written(grams.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows"))
+    grams = written(grams.distinct(), "windows")
+    windows = _sized(written(grams.select("window").distinct(), "windows"))
     marks = items.select(F.explode(F.when(F.size("words") >= window, window_marks(F.col("words"), window, gram)).otherwise(F.array(F.xxhash64(F.size("words"), "words")))).alias("mark")).distinct()
     marks = _sized(written(marks, "marks"))
 
@@ -79,12 +81,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
         return F.transform(some, lambda i: F.struct(i.alias("start"), F.lit(n).alias("length"), F.array_join(F.slice(w, i, n), " ").alias("window")))
 
     extended = candidates.select("k", "th", F.explode(_let(words_of(F.col("text")), lambda w: F.concat(starts(w, window_marks(w, window, gram), window), *[starts(w, _gram_hashes(w, n), n) for n in short]))).alias("at"))
-    extended = extended.select("k", "th", "at.*").join(windows, "window")
+    extended = written(extended.select("k", "th", "at.*").join(windows, "window"), "occurrences")
+    listed = extended.select("k", "th", "window").distinct().join(grams.where("item_id is not null"), "window").groupBy("k", "th").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     # Covered words: spans in the order of their starts, each counted beyond the end of those before.
-    spans = extended.groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    spans = extended.groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     step = lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["length"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(s["start"], a["end"]))).alias("n"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"])
-    hit = spans.select("k", "th", covered.cast("long").alias("n_hit"), "items")
+    hit = spans.select("k", "th", covered.cast("long").alias("n_hit")).join(listed, ["k", "th"], "left")
     kind = dict(hit.dtypes)["items"]
     return found.select("k", "th", "doc_id", "n_words").join(hit, ["k", "th"], "left").select("k", "th", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast(kind)).alias("items"))
 

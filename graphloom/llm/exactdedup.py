@@ -25,12 +25,29 @@ FILES_PER_BATCH = 2000
 _SPACE = b" \t\n\v\f\r"
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__file`` and ``__row``, by which a row's content can be read again. Rows that no Parquet file holds are written to the shared folder first."""
+#: Plan steps over a file scan that give each of its rows once at most.
+_PLAIN = {"Project", "Filter"}
+
+
+def is_plain_scan(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a file, and no file row stands for two."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in _PLAIN:
+        plan = plan.child()
+    if not plan.getClass().getSimpleName().startswith("LogicalRelation"):
+        return False
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        return written(docs, "located").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        return False
+    return True
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file`` and ``__row``, by which a row's content can be read again. Rows that are more than a plain scan of files are written to the shared folder first."""
+    if not is_plain_scan(docs):
+        docs = written(docs, "located")
+    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 def _fingerprints(rows: DataFrame, digest_bytes: int) -> DataFrame:
@@ -106,11 +123,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns. Columns ``__file`` and ``__row`` are reserved."""
     names = docs.columns
-    try:
-        source = located(docs)
-        docs.select("_metadata.row_index")
-    except AnalysisException:
+    if not is_plain_scan(docs):
         docs = written(docs, "docs")
-        source = located(docs)
+    source = located(docs)
     stay = exact_groups(docs, doc_id, text).where("kept").select("__file", "__row")
     return source.join(stay, ["__file", "__row"], "left_semi").select(*[f"`{c}`" for c in names])

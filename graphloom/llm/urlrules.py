@@ -118,7 +118,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url"
     left = rules.select("key", "path", "host", "verdict")
     left = left.mapInArrow(to_ranges, extended(left.schema, range=T.IntegerType()))
     both = both.withColumns({"is_url": F.lit(1), "verdict": F.lit(None).cast("string")}).unionByName(left.withColumns({"is_url": F.lit(0), "place": F.lit(lowest)}), allowMissingColumns=True)
-    dealt = both.repartition(ranges, "range").sortWithinPartitions("range", "key", "is_url", "place")
+    dealt = both.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "is_url", "place")
     columns = ["range", "key", "is_url", "path", "host", "verdict", "row"]
 
     def sweep(batches):

@@ -375,6 +375,15 @@ def test_dropping_exact_copies_keeps_columns(spark):
     assert exactdedup.exact_groups(made.limit(0)).count() == 0
 
 
+def test_exact_groups_of_rows_that_share_a_file_row(spark, tmp_path):
+    docs(spark, (1, "a b"), (2, "c d")).write.parquet(path := f"file://{tmp_path}/docs")
+    made = spark.read.parquet(path).select(F.explode(F.array("doc_id", F.col("doc_id") + 10)).alias("doc_id"), F.lit("same").alias("text"), F.lit(0).alias("size"))
+    got = exactdedup.exact_groups(made).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 1, 4, True), (2, 1, 4, False), (11, 1, 4, False), (12, 1, 4, False)]
+    assert [r["doc_id"] for r in exactdedup.drop_exact_copies(made).collect()] == [1]
+    assert exactdedup.is_plain_scan(spark.read.parquet(path).where("doc_id > 1").select("text")) and not exactdedup.is_plain_scan(made)
+
+
 # 7
 
 
@@ -410,6 +419,12 @@ def test_rules_over_many_ranges(spark, monkeypatch):
         assert got[i] == max(((len(r.text), len(r.host), r.text) for r in fits), default=(0, 0, None))[2]
 
 
+def test_repeated_urls_and_rules_of_equal_length(spark):
+    rules = [urlrules.Rule("allow", "a.com", "/b/"), urlrules.Rule("block", "a.com", "/b/"), urlrules.Rule("block", "a.com", "/b/")]
+    got = urlrules.judge_urls(spark.createDataFrame([(1, "http://a.com/b/c")] * 3, "page_id long, url string"), rules).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("a.com/b/", "block")] * 3
+
+
 # 8
 
 
@@ -497,6 +512,13 @@ def test_benchmark_hits_equal_brute_force(spark, window, gram):
     assert decontaminate.benchmark_hits(made.limit(0), table).count() == 0
 
 
+def test_benchmark_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10)
+    items = [(i, "one two three four five six seven eight nine ten " + "x" * i) for i in range(30)]
+    got = decontaminate.benchmark_hits(docs(spark, (1, "zero one two three four five six seven eight nine ten")), spark.createDataFrame(items, "item_id long, text string")).first()
+    assert (got["n_words"], got["n_hit"], got["items"]) == (11, 10, list(range(30)))
+
+
 # 10
 
 
