@@ -84,15 +84,16 @@ def worst_segment(logits: np.ndarray) -> tuple[float, int]:
 class _Trainer:
     def __init__(self, texts: list[bytes], labels: np.ndarray, seed: int):
         self.labels = labels.astype(np.float64)
-        split = [words_of(t) for t in texts]
-        count: dict[bytes, int] = {}
-        for words in split:
-            for w in set(words):
-                count[w] = count.get(w, 0) + 1
-        self.index = {w: i for i, w in enumerate(sorted(count))}
-        self.docs = [np.array([self.index[w] for w in words] or [-1], np.int64) for words in split]
-        grams = [buckets_of(w) for w in self.index]
-        self.gram = np.array([b for g in grams for b in g] or [0], np.int64)
+        self.index: dict[bytes, int] = {}
+        self.docs, grams = [], []
+        for t in texts:  # a text's words are given up for numbers before the next one is split
+            words = words_of(t)
+            for w in words:
+                if w not in self.index:
+                    self.index[w] = len(self.index)
+                    grams.append(np.array(buckets_of(w), np.int32))
+            self.docs.append(np.array([self.index[w] for w in words] or [-1], np.int32))
+        self.gram = np.concatenate(grams) if grams else np.zeros(1, np.int32)
         self.sizes = np.array([len(g) for g in grams] or [1])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         rng = np.random.default_rng(seed)
