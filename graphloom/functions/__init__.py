@@ -49,18 +49,31 @@ def sample_order(seed: int, stream: int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), *[_col(k).cast("string") for k in keys]))
 
 
+def hash_number(seed: int, stream: int, *keys: Column | str) -> Column:
+    """A number from 0 to 2^60 - 1 by the hash of keys, the same in any engine with md5."""
+    return F.conv(F.substring(sample_order(seed, stream, *keys), 1, 15), 16, 10).cast("long")
+
+
+def running_total(value: Column | str, partition: Iterable[str], order: Iterable[Column | str]) -> Column:
+    """Window: the sum of the value up to the row, null values as nothing."""
+    upto = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.sum(_col(value)).over(upto), F.lit(0))
+
+
 def select_sample(df: DataFrame, key: str, seed: int, stream: int, amount: int | float) -> DataFrame:
     """``df`` with ``keep``: true for exactly ``amount`` distinct keys, or for floor(amount * N) of N if it is a float from 0 to 1.
 
-    The cut is found from the sorted order of one hash per distinct key: only the key at the cut reaches the driver.
+    The distinct keys are numbered in the order of one hash each, sorted by ranges: only the key at the cut reaches the driver.
     """
     if isinstance(amount, float) and not 0 <= amount <= 1:
         raise ValueError(f"fraction {amount} is outside 0..1")
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_order", sample_order(seed, stream, key))
-    n = int(amount * keys.count()) if isinstance(amount, float) else min(amount, keys.count())
+    from graphloom.operators.order import numbered
+
+    placed = numbered(df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_order", sample_order(seed, stream, key)), ["_order", key], "_rn")
+    n = int(amount * placed.count()) if isinstance(amount, float) else min(amount, placed.count())
     if n <= 0:
         return df.withColumn("keep", F.lit(False))
-    last = keys.orderBy("_order", key).offset(n - 1).limit(1).first()
+    last = placed.where(F.col("_rn") == n).first()
     mine = F.struct(sample_order(seed, stream, key).alias("_order"), F.col(key).alias("k"))
     return df.withColumn("keep", F.coalesce(mine <= F.struct(F.lit(last["_order"]).alias("_order"), F.lit(last[key]).alias("k")), F.lit(False)))
 

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import triangle_row
+from graphloom.functions import hash_number, triangle_row
 from graphloom.operators.graph import Graph, crossover
+from graphloom.operators.order import numbered
+from graphloom.shared import written
 
 
 def _graph(edges: DataFrame, undirected: bool) -> Graph:
@@ -66,16 +68,25 @@ def _decode(index: Column, vertices: int, undirected: bool) -> tuple[Column, Col
 
 
 def random_edges(spark: SparkSession, vertices: int, count: int, seed: int, undirected: bool = False) -> DataFrame:
-    """``count`` distinct edges, loops included, drawn evenly without replacement: draws by hash are made distinct until there are enough, then cut in hash order."""
+    """``count`` distinct edges, loops included, drawn evenly without replacement: draws by hash are made distinct until there are enough, then cut in hash order.
+
+    Draw i is cell number hash(seed, 1, i) mod the number of cells; cells are placed by hash(seed, 2, cell), sorted by ranges. If ``draws`` (three times
+    ``count`` and some) hold too few distinct cells, twice as many are drawn.
+    """
     space = vertices * (vertices + 1) // 2 if undirected else vertices * vertices
     if count > space:
         raise ValueError(f"{count} edges of {space}")
-    if 2 * count >= space:  # all cells in hash order
-        cells = spark.range(space).select(F.col("id").alias("cell"))
-    else:
-        draws = 3 * count + 64
-        cells = spark.range(draws).select(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(space)).alias("cell")).distinct()
-    picked = cells.orderBy(F.xxhash64(F.lit(seed + 1), F.col("cell")), "cell").limit(count)
+    draws = 3 * count + 64
+    while True:
+        if 2 * count >= space:  # all cells in hash order
+            cells = spark.range(space).select(F.col("id").alias("cell"))
+        else:
+            cells = spark.range(draws).select((hash_number(seed, 1, "id") % space).alias("cell")).distinct()
+        placed = numbered(cells.withColumn("_order", hash_number(seed, 2, "cell")), ["_order", "cell"], "_rn")
+        if 2 * count >= space or placed.count() >= count:
+            break
+        draws *= 2
+    picked = placed.where(F.col("_rn") <= count)
     src, dst = _decode(F.col("cell"), vertices, undirected)
     return picked.select(src.alias("src"), dst.alias("dst"))
 
@@ -112,6 +123,7 @@ def evolve(population: list[Graph], generations: int, size: int, elite: float =
             spark, v = one.edges.sparkSession, one.vertices.count()
             changed = random_edges(spark, v, mutation_count, seed + 31 * step + len(children)) if mutation_count else None
             child = crossover(one, other, kind, point=v // 2, seed=seed + step, mutations=changed)
+            child = Graph(written(child.edges, "child"), written(child.vertices, "child"), child.undirected)  # else lineage multiplies by generation
             children.append((child.fitness() * child.connectivity(), child))
         scored = sorted([*keep, *children], key=lambda x: -x[0])[:size]
     return scored

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import UNREACHED
+from graphloom.functions import UNREACHED, hash_number
 from graphloom.operators.order import numbered, running_sum
 from graphloom.shared import drop_written, written
 
@@ -141,7 +141,8 @@ class Graph:
     def connectivity(self) -> float:
         """The part of all vertices that vertex 0 reaches, whatever the direction of edges."""
         both = self if self.undirected else Graph.of_edges(self.edges, undirected=True)
-        reached = Graph(both.edges, self.vertices, True).bfs(0)
+        edges = written(both.edges, "edges")  # read by every level
+        reached = Graph(edges, self.vertices, True).bfs(0)
         n = self.vertices.count()
         return reached.where(F.col("level") < UNREACHED).count() / n if n else 0.0
 
@@ -170,6 +171,11 @@ class Graph:
         shares.unpersist()
         return ranks
 
+    def rank_change(self, iterations: int = 100, damping: float = 0.85) -> DataFrame:
+        """One row: the sum of absolute differences of the last two iterations' ranks."""
+        found = self.pagerank(iterations, damping, with_change=True)
+        return found.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"))
+
     def rank_order(self, ranks: DataFrame, chunk: int = 1000) -> DataFrame:
         """(id, bucket, place): vertices by rank (its low 16 bits cleared) in chunks, by id within a chunk."""
         from graphloom.functions import masked_float
@@ -231,7 +237,7 @@ def crossover(one: Graph, other: Graph, kind: str = "point", point: int = 0, see
         chosen = F.when(F.col("dst") <= point, a).otherwise(b)
     elif kind in ("vertex", "edge"):
         keys = [F.col("dst")] if kind == "vertex" else [F.col("dst"), F.col("src")]
-        chosen = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2)) == 0
+        chosen = hash_number(seed, 3, *keys) % 2 == 0
     else:
         raise ValueError(kind)
     kept = has.where((a & b) | chosen).select("src", "dst")

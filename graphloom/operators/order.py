@@ -36,3 +36,15 @@ def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str)
     offsets = df.sparkSession.createDataFrame(rows, "_part long, _offset long")
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
     return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_offset")).drop("_part", "_id", "_offset")
+
+
+def counted(df: DataFrame, name: str = "n") -> DataFrame:
+    """Adds the number of all rows to every row: one aggregate, joined as a single row."""
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
+
+
+def top_share(df: DataFrame, order: list[Column | str], share: float) -> DataFrame:
+    """The first floor(share * N) rows of an order, one at least."""
+    placed = numbered(df, order, "_rn")
+    keep = max(1, int(share * placed.count()))
+    return placed.where(F.col("_rn") <= keep).drop("_rn")

@@ -94,3 +94,8 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def latest_valid(value: str, partition: list[str], order: str) -> Column:
     """The last non-null value up to the row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def table_columns(df: DataFrame) -> DataFrame:
+    """(position, name) of a table's columns."""
+    return df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position long, name string")

@@ -55,6 +55,30 @@ def resolve_sets(unknown: dict[int, list[int]], strategy: str = "firstinset", ra
     return {k: min(v, key=lambda i: ((ranks or {}).get(i, float("inf")), i)) for k, v in unknown.items()}
 
 
+#: What a ranked strategy sums up of an implementation's measurements, and how.
+RANKED = [f"{time}-{how}" for time in ("min", "avg", "max") for how in ("min", "avg", "total")]
+
+
+def strategy_ranks(steps: DataFrame) -> DataFrame:
+    """(strategy, impl_id, value) for each of the nine ranked strategies, in one pass: the least, mean and total of each implementation's min, avg and max times."""
+    by = {"min": F.min, "avg": F.avg, "total": F.sum}
+    each = [F.struct(F.lit(name).alias("strategy"), by[name.split("-")[1]](F.col(f"{name.split('-')[0]}_time").cast("double")).alias("value")) for name in RANKED]
+    return steps.groupBy("impl_id").agg(F.array(*each).alias("all")).select("impl_id", F.explode("all").alias("x")).select("x.strategy", "impl_id", "x.value")
+
+
+def resolve_ranked(unknown: dict[int, list[int]], steps: DataFrame) -> dict[str, dict[int, int | None]]:
+    """For each ranked strategy an implementation for each set. Implementations are a small dimension: nine values of each reach the driver."""
+    ranks: dict[str, dict[int, float]] = {name: {} for name in RANKED}
+    for r in strategy_ranks(steps).where(F.col("impl_id").isin([i for v in unknown.values() for i in v])).collect():
+        ranks[r["strategy"]][r["impl_id"]] = r["value"]
+    return {name: resolve_sets(unknown, name, found) for name, found in ranks.items()}
+
+
+def merged_diffs(diffs: DataFrame) -> DataFrame:
+    """One row per field of several differences: the greatest absolute and relative ones, and all errors."""
+    return diffs.groupBy("field").agg(F.max("max_abs").alias("max_abs"), F.max("max_rel").alias("max_rel"), F.sum("errors").alias("errors"))
+
+
 def predict(steps: DataFrame, tree: Sequence[TreeNode], default: int, unknown: dict[int, int | None] | None = None) -> DataFrame:
     """Adds ``answer`` (the tree's, null if a set stays unresolved) and ``impl``: the last answer of the variant up to the step, else ``default``."""
     answer = tree_column(tree)

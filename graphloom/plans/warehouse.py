@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import BEST_NON_SWITCHING, OPTIMAL, dense_vector, min_key, select_sample, total
+from graphloom.shared import written
 
 CORE = "Core"
 
@@ -21,7 +22,7 @@ def _ids(impls: DataFrame) -> Column:
 
 def best_per_step(steps: DataFrame, impls: DataFrame, complete: bool = True) -> DataFrame:
     """(variant_id, step_id, best_impl, best_time): the core implementation with the least (avg, max, min); ``complete`` leaves out steps that lack an implementation."""
-    core = steps.join(F.broadcast(impls), "impl_id").withColumn("core", F.when(F.col("type") == CORE, F.col("impl_id")))
+    core = steps.join(impls, "impl_id").withColumn("core", F.when(F.col("type") == CORE, F.col("impl_id")))
     key = F.when(F.col("core").isNotNull(), F.struct(*[x.alias(f"o{i}") for i, x in enumerate([F.col("avg_time").isNull(), F.col("avg_time"), F.col("max_time"), F.col("min_time"), F.col("impl_id")])]))
     found = core.groupBy("variant_id", "step_id").agg(F.min_by("impl_id", key).alias("best_impl"), F.min(F.when(F.col("core").isNotNull(), F.col("avg_time"))).alias("best_time"), F.count("*").alias("n"))
     return (found.where(F.col("n") == impls.count()) if complete else found).drop("n")
@@ -42,7 +43,7 @@ def step_info(steps: DataFrame, impls: DataFrame, properties: DataFrame | None =
 
 def variant_info(steps: DataFrame, runs: DataFrame, impls: DataFrame) -> DataFrame:
     """(variant_id, optimal, best_non_switching): the sum over steps of the best core time, and the least total of one core implementation."""
-    core = F.broadcast(impls.where(F.col("type") == CORE).select("impl_id"))
+    core = impls.where(F.col("type") == CORE).select("impl_id")
     least = steps.join(core, "impl_id").groupBy("variant_id", "step_id").agg(F.min("avg_time").alias("m"))
     optimal = least.groupBy("variant_id").agg(F.sum("m").alias("optimal"))
     totals = runs.where("validated").join(core, "impl_id").groupBy("variant_id", "impl_id").agg(F.avg("total_time").alias("t"))
@@ -52,7 +53,7 @@ def variant_info(steps: DataFrame, runs: DataFrame, impls: DataFrame) -> DataFra
 def impl_totals(steps: DataFrame, impls: DataFrame) -> DataFrame:
     """(variant_id, impl_id, time): the sum over steps of each implementation, and of the best core one as -1, the best single core one as -2."""
     each = steps.groupBy("variant_id", "impl_id").agg(F.sum("avg_time").alias("time"))
-    core = F.broadcast(impls.where(F.col("type") == CORE).select("impl_id"))
+    core = impls.where(F.col("type") == CORE).select("impl_id")
     optimal = steps.join(core, "impl_id").groupBy("variant_id", "step_id").agg(F.min("avg_time").alias("m")).groupBy("variant_id").agg(F.sum("m").alias("time"))
     single = each.join(core, "impl_id").groupBy("variant_id").agg(F.min("time").alias("time"))
     fixed = lambda df, i: df.select("variant_id", F.lit(i).cast("long").alias("impl_id"), "time")
@@ -62,7 +63,7 @@ def impl_totals(steps: DataFrame, impls: DataFrame) -> DataFrame:
 def train_steps(steps: DataFrame, variants: DataFrame, impls: DataFrame, seed: int, graphs: float, variant_part: float, step_part: float) -> DataFrame:
     """``best_per_step`` with keep: the step's graph, its variant and the step itself are in seeded samples of exact size."""
     info = best_per_step(steps, impls).join(variants.select("variant_id", "graph_id"), "variant_id")
-    info = info.withColumn("step_key", F.concat_ws(":", "variant_id", "step_id"))
+    info = written(info.withColumn("step_key", F.concat_ws(":", "variant_id", "step_id")), "steps")  # each sample counts its keys
     info = select_sample(info, "graph_id", seed, 1, graphs).withColumnRenamed("keep", "g")
     info = select_sample(info, "variant_id", seed, 2, variant_part).withColumnRenamed("keep", "v")
     info = select_sample(info, "step_key", seed, 3, step_part)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from graphloom.functions import UNREACHED
-from graphloom.operators import generate
+from graphloom.operators import debug, generate
 from graphloom.operators.graph import Graph, crossover, summary
 from graphloom.sources import edgelist
 from graphloom.sources.native import parse, read_native, write_native
@@ -81,6 +81,33 @@ def test_generators(spark):
     assert generate.random_edges(spark, 10, 100, 1).distinct().count() == 100
 
 
+def test_few_cells_are_drawn_again(spark, monkeypatch):
+    seen, whole = [], generate.numbered
+
+    def short_at_first(df, *rest):
+        seen.append(1)
+        return whole(df.limit(5) if len(seen) == 1 else df, *rest)
+
+    monkeypatch.setattr(generate, "numbered", short_at_first)
+    got = generate.random_edges(spark, 50, 60, 3)
+    assert len(seen) == 2 and got.distinct().count() == 60
+
+
+def test_rank_change_shrinks(spark):
+    g = generate.random_graph(spark, 60, 300, seed=2)
+    assert 0 <= g.rank_change(8).first()["change"] < g.rank_change(2).first()["change"]
+
+
+def test_times_and_plans(spark):
+    g = generate.chain(spark, 3)
+    rows, seconds = debug.timed(g.edges)
+    assert rows == 3 and seconds >= 0 and "Physical Plan" in debug.plan_text(g.edges)
+    one = debug.repeated(spark, lambda: None, "nothing").first()
+    assert one["name"] == "nothing" and one["std_dev"] == 0 and one["min_time"] == one["max_time"]
+    many = debug.time_search(g, 0, "push", 2).first()
+    assert many["min_time"] <= many["avg_time"] <= many["max_time"]
+
+
 def test_crossover_and_mutation(spark):
     a, b = generate.chain(spark, 6), Graph.of_edges(edges(spark, (0, 1), (6, 0)))
     child = crossover(a, b, "point", 3, mutations=edges(spark, (0, 1), (5, 5)))

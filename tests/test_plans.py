@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import functions as fn
 from graphloom.operators import relational
-from graphloom.operators.order import numbered, running_sum
+from graphloom.operators.order import counted, numbered, running_sum, top_share
 from graphloom.plans import model, tables
 from graphloom.sources import logs
 from graphloom.streaming import stream_timings
@@ -130,3 +130,27 @@ def test_log_stream(spark, tmp_path):
     (tmp_path / "in" / "a.log").write_text("1:x:1 2 3 4\nbad\n")
     stream_timings(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out/ok").count() == 1 and spark.read.parquet(f"file://{tmp_path}/out/rejected").count() == 1
+
+
+def test_ranked_strategies(spark):
+    steps = spark.createDataFrame([(1, 5.0, 5.0, 5.0), (2, 1.0, 4.0, 9.0), (2, 2.0, 4.0, 9.0)], "impl_id long, min_time double, avg_time double, max_time double")
+    got = model.resolve_ranked({2: [1, 2]}, steps)
+    assert set(got) == set(model.RANKED) and all(got[f"{t}-total"][2] == (2 if t == "min" else 1) for t in ("min", "avg", "max"))
+    assert got["min-min"][2] == got["avg-avg"][2] == 2 and got["max-avg"][2] == 1
+
+
+def test_shares_and_counts(spark):
+    rows = spark.range(10).select(F.col("id").alias("k"))
+    assert sorted(r["k"] for r in top_share(rows, [F.desc("k")], 0.25).collect()) == [8, 9] and top_share(rows, ["k"], 0.0).count() == 1
+    assert {r["n"] for r in counted(rows).collect()} == {10} and counted(rows.limit(0)).count() == 0
+    assert top_share(rows.limit(0), ["k"], 0.5).count() == 0
+
+
+def test_shared_folder_is_not_local_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from graphloom import shared
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf))
