@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import UNREACHED, hash_number
 from graphloom.operators.order import numbered, running_sum
-from graphloom.shared import drop_written, written
+from graphloom.shared import BUCKET_ROWS, bucket_count, bucketed, drop_written, written
 
 #: Frontier share from which a level is expanded from the unvisited side.
 PULL_SHARE = 0.1
+#: Levels of a search after which the visited vertices are written as one table.
+LEVELS_PER_TABLE = 16
 STATISTICS = ("min", "lower", "median", "mean", "upper", "max", "stddev")
 
 
@@ -43,6 +45,38 @@ def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame
     return found.withColumn("stddev", spread).drop("n", "squares")
 
 
+class DealtEdges:
+    """Edges in buckets of one end (``key``), so that a join with vertices shuffles the vertices alone.
+
+    A vertex with more than ``most`` edges (by default a bucket's share) is dealt to several buckets by a salt, and what meets it is copied once for each;
+    there are fewer such vertices than edges / ``most``, by default fewer than buckets.
+    """
+
+    def __init__(self, edges: DataFrame, key: str, most: int | None = None):
+        spark, rows = edges.sparkSession, edges.count()
+        buckets = bucket_count(spark, rows)
+        most = most or max(BUCKET_ROWS, -(-rows // buckets))
+        heavy = edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col(key).cast("long").alias(key), F.ceil(F.col("n") / most).cast("int").alias("salts")).collect()
+        self.key, self.on, self.hot = key, [key], None
+        if heavy:
+            self.on, self.hot = [key, "salt"], spark.createDataFrame(heavy, f"{key} long, salts int")
+            other = "dst" if key == "src" else "src"
+            salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"))
+            edges = edges.join(F.broadcast(self.hot), key, "left").withColumn("salt", salt).drop("salts")
+        self.edges = bucketed(edges, self.on, buckets, "edges")
+
+    def join(self, vertices: DataFrame, how: str) -> DataFrame:
+        """The edges joined with vertices (id, ...) at the end ``key``."""
+        ends = vertices.withColumnRenamed("id", self.key)
+        if self.hot is not None:
+            copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+            ends = ends.join(F.broadcast(self.hot), self.key, "left").withColumn("salt", F.explode(copies)).drop("salts")
+        return self.edges.join(ends, self.on, how)
+
+    def drop(self) -> None:
+        drop_written(self.edges)
+
+
 @dataclass
 class Graph:
     """``edges`` (src, dst) and ``vertices`` (id); an undirected graph holds each edge in both directions."""
@@ -110,7 +144,8 @@ class Graph:
         """(id, level) from ``root``; unreached vertices have level 2147483647. A root that is no vertex gives no rows.
 
         ``push`` joins the frontier with the edges by source; ``pull`` joins the unvisited vertices' in-edges with the frontier; ``switch`` takes pull
-        once the frontier is a large part of all vertices. All give the same levels. Every level is written to the shared folder.
+        once the frontier is a large part of all vertices. All give the same levels. Edges are dealt once for each direction in use, so that a level
+        shuffles vertices and the edges that it opens; every level is written to the shared folder.
         """
         if strategy not in ("push", "pull", "switch"):
             raise ValueError(strategy)
@@ -118,17 +153,26 @@ class Graph:
         if frontier.isEmpty():
             return frontier.withColumn("level", F.lit(0)).limit(0)
         visited, size, all_size, level = frontier.withColumn("level", F.lit(0)), 1, self.vertices.count(), 0
+        edges, dealt = written(self.edges, "edges"), {}
         while size:
             level += 1
             pull = strategy == "pull" or strategy == "switch" and size >= PULL_SHARE * all_size
+            key = "dst" if pull else "src"
+            if key not in dealt:
+                dealt[key] = DealtEdges(edges, key)
             if pull:
-                open_ends = self.edges.join(visited.select(F.col("id").alias("dst")), "dst", "left_anti")
+                open_ends = dealt[key].join(visited.select("id"), "left_anti")
                 reached = open_ends.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
             else:
-                reached = self.edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
+                reached = dealt[key].join(frontier.select("id"), "left_semi").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
             frontier = written(reached, "level")
             size = frontier.count()
             visited = visited.unionByName(frontier.withColumn("level", F.lit(level)))
+            if level % LEVELS_PER_TABLE == 0:
+                visited = written(visited, "visited")
+        for d in dealt.values():
+            d.drop()
+        drop_written(edges)
         return self.vertices.join(visited, "id", "left").select("id", F.coalesce("level", F.lit(UNREACHED)).alias("level"))
 
     def levels(self, root: int = 0) -> DataFrame:
@@ -141,25 +185,24 @@ class Graph:
     def connectivity(self) -> float:
         """The part of all vertices that vertex 0 reaches, whatever the direction of edges."""
         both = self if self.undirected else Graph.of_edges(self.edges, undirected=True)
-        edges = written(both.edges, "edges")  # read by every level
-        reached = Graph(edges, self.vertices, True).bfs(0)
+        reached = Graph(both.edges, self.vertices, True).bfs(0)
         n = self.vertices.count()
         return reached.where(F.col("level") < UNREACHED).count() / n if n else 0.0
 
     def pagerank(self, iterations: int = 100, damping: float = 0.85, write_every: int = 5, with_change: bool = False) -> DataFrame:
         """(id, rank): the given number of iterations from 1/V, without normalisation; vertices without out-edges pass nothing on.
 
-        The edges carry 1/degree and are kept dealt by source, so that an iteration shuffles only ranks and partial sums.
+        The edges carry 1/degree and are written in buckets of their source, heavy sources salted, so that an iteration shuffles only ranks and partial sums.
         """
         n = self.vertices.count()
         if not n:
             return self.vertices.withColumn("rank", F.lit(0.0))
-        shares = self.edges.join(self.edges.groupBy("src").agg((1.0 / F.count("*")).alias("share")), "src")
-        shares = written(shares, "shares").repartition("src").persist()
+        edges = written(self.edges, "edges")
+        shares = DealtEdges(edges.join(edges.groupBy("src").agg((1.0 / F.count("*")).alias("share")), "src"), "src")
         base = (1.0 - damping) / n
         ranks, kept = self.vertices.select("id", F.lit(1.0 / n).alias("rank")), None
         for i in range(1, iterations + 1):
-            sums = shares.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
+            sums = shares.join(ranks, "inner").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("s"))
             before, ranks = ranks, self.vertices.join(sums.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
             if i % write_every == 0 or i == iterations:
                 if with_change and i == iterations:
@@ -168,7 +211,8 @@ class Graph:
                 if kept is not None:
                     drop_written(kept)
                 ranks = kept = done
-        shares.unpersist()
+        shares.drop()
+        drop_written(edges)
         return ranks
 
     def rank_change(self, iterations: int = 100, damping: float = 0.85) -> DataFrame:

@@ -125,6 +125,37 @@ def validate(predicted: DataFrame, truth: DataFrame, sets: dict[int, list[int]]
     return found.unionByName(all_rows)
 
 
+def validation_report(predicted: DataFrame, truth: DataFrame, sets: dict[int, list[int]], refined: dict[int, int | None] | None = None) -> DataFrame:
+    """One row of counters and error rates for the tree's raw answers, those that name a set replaced by ``refined``.
+
+    right_n, partial_n (the truth and, if there is one, the refined answer are in the set), wrong_n and unknown_n (no answer) cover all steps;
+    right_refined, partial_refined and wrong_refined (the truth is in the set, the refined answer is not) the refined ones.
+    Hard errors are the wrong ones, soft errors the partial ones too, as shares of their counters' sum (null if that is 0).
+    """
+    long = lambda x: F.lit(x).cast("long")
+    table = lambda d: F.create_map(*[x for kv in d for x in kv]) if d else None
+    members = table([(long(-k), F.array(*map(long, v)).cast("array<bigint>")) for k, v in sets.items()])
+    answers = table([(long(-k), long(v)) for k, v in (refined or {}).items() if v is not None])
+    raw, best, of_set = F.col("raw"), F.col("truth"), F.col("raw") < 0
+    at = lambda m, kind: F.lit(None).cast(kind) if m is None else F.when(of_set, F.try_element_at(m, raw))
+    joined = predicted.select("variant_id", "step_id", "raw").join(truth.select("variant_id", "step_id", F.col("best_impl").alias("truth")), ["variant_id", "step_id"])
+    rows = joined.select("raw", "truth", at(answers, "bigint").alias("answer"), F.coalesce(at(members, "array<bigint>"), F.array().cast("array<bigint>")).alias("set"))
+    said, has = F.coalesce("answer", "raw"), F.col("answer").isNotNull()
+    right = F.coalesce(said == best, F.lit(False))
+    among = ~right & F.coalesce(F.array_contains("set", best), F.lit(False))
+    fits = ~has | F.array_contains("set", F.col("answer"))
+    counts = rows.agg(
+        F.count_if(right).alias("right_n"), F.count_if(among & fits).alias("partial_n"), F.count_if(raw.isNotNull() & ~right & ~(among & fits)).alias("wrong_n"), F.count_if(raw.isNull()).alias("unknown_n"),
+        F.count_if(right & has).alias("right_refined"), F.count_if(among & has & fits).alias("partial_refined"), F.count_if(among & has & ~fits).alias("wrong_refined"),
+    )
+    all_n, all_refined = F.expr("right_n + partial_n + wrong_n + unknown_n"), F.expr("right_refined + partial_refined + wrong_refined")
+    rate = lambda part, whole: F.try_divide(F.expr(part).cast("double"), whole)
+    return counts.select(
+        "*", rate("wrong_n", all_n).alias("hard_error"), rate("wrong_n + partial_n", all_n).alias("soft_error"),
+        rate("wrong_refined", all_refined).alias("hard_refined_error"), rate("wrong_refined + partial_refined", all_refined).alias("soft_refined_error"),
+    )
+
+
 def interesting(totals: DataFrame) -> DataFrame:
     """(criterion, variant_id): where each implementation is relatively best and worst, and where the spread of times is greatest by several measures."""
     plain = totals.where(F.col("impl_id") >= 0)

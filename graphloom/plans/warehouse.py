@@ -50,6 +50,12 @@ def variant_info(steps: DataFrame, runs: DataFrame, impls: DataFrame) -> DataFra
     return optimal.join(totals.groupBy("variant_id").agg(F.min("t").alias("best_non_switching")), "variant_id", "left")
 
 
+def variant_vectors(steps: DataFrame, impls: DataFrame) -> DataFrame:
+    """(variant_id, timings): for each variant a vector of the summed step times of every implementation, infinite where it has none."""
+    each = steps.groupBy("variant_id", "impl_id").agg(F.sum("avg_time").alias("time"))
+    return dense_vector(impls, each, ["variant_id"], "impl_id", "time", float("inf")).withColumnRenamed("vector", "timings")
+
+
 def impl_totals(steps: DataFrame, impls: DataFrame) -> DataFrame:
     """(variant_id, impl_id, time): the sum over steps of each implementation, and of the best core one as -1, the best single core one as -2."""
     each = steps.groupBy("variant_id", "impl_id").agg(F.sum("avg_time").alias("time"))
@@ -103,9 +109,9 @@ def step_heatmap(steps: DataFrame, variants: DataFrame, impls: DataFrame, config
     return chosen.groupBy("variant_id", "step_id").agg(*[F.max(F.when(F.col("impl_id") == i, F.col("avg_time"))).alias(f"impl_{i}") for i in ids])
 
 
-def missing_runs(variants: DataFrame, impls: DataFrame, runs: DataFrame) -> DataFrame:
-    """(variant_id, impl_id) without any run."""
-    wanted = variants.select("variant_id").withColumn("impl_id", F.explode(_ids(impls)))
+def missing_runs(variants: DataFrame, impls: DataFrame, runs: DataFrame, retries: int | None = None) -> DataFrame:
+    """(variant_id, impl_id) without any run; with ``retries`` only of variants whose retry_count is less."""
+    wanted = (variants if retries is None else variants.where(F.col("retry_count") < retries)).select("variant_id").withColumn("impl_id", F.explode(_ids(impls)))
     return wanted.join(runs.select("variant_id", "impl_id"), ["variant_id", "impl_id"], "left_anti")
 
 
@@ -115,9 +121,10 @@ def validation_variants(runs: DataFrame, variants: DataFrame) -> DataFrame:
     return open_runs.join(variants.select("variant_id", "graph_id"), "variant_id").select("variant_id", "graph_id", "unvalidated")
 
 
-def validation_runs(runs: DataFrame, variant: int, impls: DataFrame) -> DataFrame:
-    """(run_id, impl_id, name) of one variant's unvalidated runs."""
-    return runs.where((F.col("variant_id") == variant) & ~F.col("validated")).join(F.broadcast(impls), "impl_id").select("run_id", "impl_id", "name")
+def validation_runs(runs: DataFrame, impls: DataFrame, variant: int | None = None) -> DataFrame:
+    """(variant_id, run_id, impl_id, name) of the unvalidated runs of one variant, or of all."""
+    mine = runs if variant is None else runs.where(F.col("variant_id") == variant)
+    return mine.where(~F.col("validated")).join(impls, "impl_id").select("variant_id", "run_id", "impl_id", "name")
 
 
 def distinct_field(df: DataFrame, field: str, prefix: str | None = None) -> DataFrame:

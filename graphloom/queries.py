@@ -146,9 +146,9 @@ def s15_table_scan(lab: Lab) -> DataFrame:
     return lab.runs.where(F.col("validated") & F.col("impl_id").isin(1, 3)).orderBy(F.desc("total_time"), "run_id", "impl_id").offset(10).limit(50).select("run_id", "variant_id", "impl_id", "total_time")
 
 
-@query("SELECT c_custkey AS variant_id, CAST(c_nationkey + 100 AS BIGINT) AS graph_id FROM customer WHERE c_nationkey < 20")
+@query("SELECT c_custkey AS variant_id, CAST(c_nationkey + 100 AS BIGINT) AS graph_id FROM customer")
 def s16_import(lab: Lab) -> DataFrame:
-    there = lab.graphs.where("graph_id < 20").withColumn("graph_id", F.col("graph_id") + 100)
+    there = lab.graphs.withColumn("graph_id", F.col("graph_id") + 100)
     moved, _ = tables.translate_ids(lab.variants.select("variant_id", "graph_id"), "graph_id", lab.graphs, there, ["name", "dataset_id"], "graph_id")
     return moved.select("variant_id", "graph_id")
 
@@ -254,9 +254,9 @@ def j7_left_semi(lab: Lab) -> DataFrame:
     return lab.variants.join(lab.runs.where("not validated"), "variant_id", "left_semi").select("variant_id")
 
 
-@query("SELECT DISTINCT e.dst AS id FROM edges e JOIN vertices v ON v.id = e.src WHERE v.id < 20")
+@query("SELECT DISTINCT e.dst AS id FROM edges e JOIN vertices v ON v.id = e.src")
 def j11_expand(lab: Lab) -> DataFrame:
-    return lab.edges.join(lab.vertices.where("id < 20"), F.col("id") == F.col("src"), "left_semi").select(F.col("dst").alias("id")).distinct()
+    return lab.edges.join(lab.vertices, F.col("id") == F.col("src"), "left_semi").select(F.col("dst").alias("id")).distinct()
 
 
 # Aggregates
@@ -376,20 +376,19 @@ def o9_ends(lab: Lab) -> DataFrame:
 # Sets
 
 
-@query("(SELECT src, dst FROM edges WHERE src < 500 UNION SELECT src, dst FROM edges WHERE dst < 500) EXCEPT (SELECT src, dst FROM edges WHERE src < 500 INTERSECT SELECT src, dst FROM edges WHERE dst < 500)")
+@query("(SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) EXCEPT (SELECT src, dst FROM edges INTERSECT SELECT dst, src FROM edges)")
 def u1_symmetric_difference(lab: Lab) -> DataFrame:
-    e = lab.edges
-    return relational.symmetric_difference(e.where("src < 500"), e.where("dst < 500"))
+    return relational.symmetric_difference(lab.edges, _graph(lab).reversed.edges)
 
 
 @query(
-    "one AS (SELECT src, dst FROM edges WHERE src % 3 <> 0), two AS (SELECT src, dst FROM edges WHERE dst % 3 <> 0), mut AS (SELECT src, dst FROM edges WHERE (src + dst) % 17 = 0),"
+    "one AS (SELECT src, dst FROM edges), two AS (SELECT dst AS src, src AS dst FROM edges), mut AS (SELECT id AS src, id + 1 AS dst FROM vertices),"
     " kept AS (SELECT src, dst FROM one WHERE dst <= 900 UNION SELECT src, dst FROM two WHERE dst > 900 UNION (SELECT src, dst FROM one INTERSECT SELECT src, dst FROM two))"
     " SELECT src, dst FROM ((SELECT * FROM kept EXCEPT SELECT * FROM mut) UNION (SELECT * FROM mut EXCEPT SELECT * FROM kept))"
 )
 def u3_g13_crossover(lab: Lab) -> DataFrame:
-    e, v = lab.edges, lab.vertices
-    return crossover(Graph(e.where("src % 3 <> 0"), v), Graph(e.where("dst % 3 <> 0"), v), "point", 900, mutations=e.where("(src + dst) % 17 = 0")).edges
+    g, turned = _graph(lab), lab.vertices.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return crossover(g, g.reversed, "point", 900, mutations=turned).edges
 
 
 # Functions
@@ -513,10 +512,28 @@ def q10_validation_variants(lab: Lab) -> DataFrame:
     return warehouse.validation_variants(lab.runs, lab.variants)
 
 
-@query("SELECT run_id, impl_id, name FROM run_fact JOIN impl_dim USING (impl_id) WHERE variant_id BETWEEN 1 AND 40 AND NOT validated")
+@query("SELECT variant_id, run_id, impl_id, name FROM run_fact JOIN impl_dim USING (impl_id) WHERE NOT validated")
 def q11_validation_runs(lab: Lab) -> DataFrame:
-    runs = lab.runs.where("variant_id between 1 and 40").withColumn("variant_id", F.lit(1))
-    return warehouse.validation_runs(runs, 1, lab.impls)
+    return warehouse.validation_runs(lab.runs, lab.impls)
+
+
+@query(
+    "tries AS (SELECT variant_id, count(*) FILTER (NOT validated) AS retry_count FROM run_fact GROUP BY variant_id) SELECT v.variant_id, i.impl_id FROM variant_dim v JOIN tries t USING (variant_id) CROSS JOIN impl_dim i"
+    " LEFT JOIN (SELECT DISTINCT variant_id, impl_id FROM run_fact WHERE validated) r ON r.variant_id = v.variant_id AND r.impl_id = i.impl_id WHERE r.impl_id IS NULL AND t.retry_count < 3"
+)
+def q9_missing_retries(lab: Lab) -> DataFrame:
+    """Missing are those without a validated run; unvalidated ones count as tries."""
+    tries = lab.runs.groupBy("variant_id").agg(F.count_if(~F.col("validated")).alias("retry_count"))
+    return warehouse.missing_runs(lab.variants.join(tries, "variant_id"), lab.impls, lab.runs.where("validated"), retries=3)
+
+
+@query(
+    "SELECT v.variant_id, i.impl_id, round(max(t.time), 4) AS time FROM (SELECT DISTINCT variant_id FROM step_fact) v CROSS JOIN impl_dim i"
+    " LEFT JOIN (SELECT variant_id, impl_id, sum(avg_time) AS time FROM step_fact GROUP BY ALL) t ON t.variant_id = v.variant_id AND t.impl_id = i.impl_id GROUP BY ALL"
+)
+def q3_variant_vectors(lab: Lab) -> DataFrame:
+    made = warehouse.variant_vectors(lab.steps, lab.impls).select("variant_id", F.explode("timings").alias("x"))
+    return made.select("variant_id", F.col("x.key").alias("impl_id"), F.round(F.when(F.col("x.value") < float("inf"), F.col("x.value")), 4).alias("time"))
 
 
 @query("SELECT DISTINCT config_name FROM variant_dim WHERE config_name ILIKE 'm%'")
@@ -563,6 +580,19 @@ def m7_validate(lab: Lab) -> DataFrame:
     return model.validate(raw, warehouse.best_per_step(lab.steps, lab.impls), SETS)
 
 
+@query(
+    f"{_PREDICTED}, {_BEST}, j AS (SELECT CASE WHEN raw = -2 THEN 1 ELSE raw END AS said, raw = -2 AS refined, best_impl AS truth, raw = -2 AND best_impl IN (1, 2) AS among FROM pred JOIN best USING (variant_id, step_id)),"
+    " c AS (SELECT count(*) FILTER (said = truth) AS right_n, count(*) FILTER (said <> truth AND among) AS partial_n, count(*) FILTER (said <> truth AND NOT among) AS wrong_n, 0::BIGINT AS unknown_n,"
+    " count(*) FILTER (refined AND said = truth) AS right_refined, count(*) FILTER (said <> truth AND among) AS partial_refined, 0::BIGINT AS wrong_refined FROM j)"
+    " SELECT *, round(wrong_n / (right_n + partial_n + wrong_n), 6) AS hard_error, round((wrong_n + partial_n) / (right_n + partial_n + wrong_n), 6) AS soft_error,"
+    " 0.0::DOUBLE AS hard_refined_error, round(partial_refined / nullif(right_refined + partial_refined, 0), 6) AS soft_refined_error FROM c"
+)
+def m7_refinements(lab: Lab) -> DataFrame:
+    raw = _steps_with_graph(lab).withColumn("raw", model.tree_column(TREE))
+    found = model.validation_report(raw, warehouse.best_per_step(lab.steps, lab.impls), SETS, model.resolve_sets(SETS, "firstinset"))
+    return found.select(*found.columns[:7], *[_r(c, 6) for c in found.columns[7:]])
+
+
 @query(
     "tot AS (SELECT variant_id, impl_id, sum(avg_time) AS time FROM step_fact GROUP BY ALL), base AS (SELECT variant_id, min(time) AS least, max(time) AS most, stddev_pop(time) AS sd, avg(time) AS mean FROM tot GROUP BY variant_id HAVING min(time) > 0),"
     " rel AS (SELECT t.variant_id, t.impl_id, time / least AS rel FROM tot t JOIN base USING (variant_id))"
@@ -624,9 +654,9 @@ def d5_duplicate_keys(lab: Lab) -> DataFrame:
     return tables.duplicate_keys(lab.table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT variant_id, graph_id FROM variant_dim WHERE graph_id >= 20")
+@query("SELECT variant_id, graph_id FROM variant_dim WHERE variant_id NOT IN (SELECT variant_id FROM run_fact)")
 def d5_orphans(lab: Lab) -> DataFrame:
-    return tables.orphans(lab.variants.select("variant_id", "graph_id"), lab.graphs.where("graph_id < 20"), {"graph_id": "graph_id"})
+    return tables.orphans(lab.variants.select("variant_id", "graph_id"), lab.runs.select("variant_id").distinct(), {"variant_id": "variant_id"})
 
 
 # Graphs
@@ -693,12 +723,12 @@ def g7_properties(lab: Lab) -> DataFrame:
 
 
 @query(
-    "s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges WHERE src % 4 = dst % 4 UNION ALL SELECT dst, src FROM edges WHERE src % 4 = dst % 4)), b(v) AS (SELECT CAST(0 AS BIGINT) UNION SELECT s.dst FROM b JOIN s ON s.src = b.v)"
+    "s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)), b(v) AS (SELECT CAST(0 AS BIGINT) UNION SELECT s.dst FROM b JOIN s ON s.src = b.v)"
     " SELECT round((SELECT count(*) FROM b) / (SELECT count(*) FROM vertices), 9) AS connectivity",
     recursive=True,
 )
 def g12_connectivity(lab: Lab) -> DataFrame:
-    share = Graph(lab.edges.where("src % 4 = dst % 4"), lab.vertices).connectivity()
+    share = _graph(lab).connectivity()
     return lab.spark.createDataFrame([(round(share, 9),)], "connectivity double")
 
 
@@ -798,10 +828,10 @@ def j2_j8_grouped_subquery(lab: Lab) -> DataFrame:
     return runs.join(most, "variant_id").where("total_time = most").select("variant_id", "run_id", "impl_id", "most")
 
 
-@query("SELECT c_custkey AS variant_id, c_nationkey + 0 AS graph_id, n_name AS graph FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 50")
+@query("SELECT c_custkey AS variant_id, c_nationkey + 0 AS graph_id, n_name AS graph FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def j10_natural_keys(lab: Lab) -> DataFrame:
     names = F.broadcast(lab.table("nation").select(F.col("n_nationkey").alias("graph_id"), F.col("n_name").alias("graph")))
-    rows = lab.table("customer").where("c_custkey < 50").select(F.col("c_custkey").alias("variant_id"), F.col("c_nationkey").alias("graph_id"))
+    rows = lab.table("customer").select(F.col("c_custkey").alias("variant_id"), F.col("c_nationkey").alias("graph_id"))
     return rows.join(names, "graph_id").select("variant_id", "graph_id", "graph")
 
 
@@ -823,9 +853,9 @@ def a15_dependent_column(lab: Lab) -> DataFrame:
     return joined.groupBy("variant_id").agg(F.any_value("graph").alias("graph"), F.sum("total_time").alias("time"))
 
 
-@query("SELECT e.dst AS id, min(e.src) AS least, count(*) AS n FROM edges e WHERE e.src < 100 GROUP BY e.dst")
+@query("SELECT e.dst AS id, min(e.src) AS least, count(*) AS n FROM edges e GROUP BY e.dst")
 def a22_scatter(lab: Lab) -> DataFrame:
-    return lab.edges.where("src < 100").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("least"), F.count("*").alias("n"))
+    return lab.edges.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("least"), F.count("*").alias("n"))
 
 
 @query("SELECT variant_id, step_id, max_time, CAST(sum(step_id + 1) OVER w AS BIGINT) AS all_steps, count(*) OVER w AS n FROM (SELECT variant_id, step_id, max(max_time) AS max_time FROM step_fact GROUP BY ALL) WINDOW w AS (PARTITION BY variant_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
@@ -847,9 +877,9 @@ def o10_weighted_sample(lab: Lab) -> DataFrame:
     return relational.weighted_sample(weights, "n", "graph_id", 8, SEED)
 
 
-@query("SELECT dst AS src, src AS dst FROM edges UNION SELECT src, dst FROM edges WHERE src < 50")
+@query("SELECT dst AS src, src AS dst FROM edges UNION SELECT src, dst FROM edges")
 def u2_u4_u5_reverse_union(lab: Lab) -> DataFrame:
-    return _graph(lab).reversed.edges.unionByName(lab.edges.where("src < 50")).distinct()
+    return _graph(lab).reversed.edges.unionByName(lab.edges).distinct()
 
 
 @query("SELECT variant_id, max(step_id) AS last_step, arg_max(m, step_id) AS last_time FROM (SELECT variant_id, step_id, min(min_time) AS m FROM step_fact GROUP BY ALL) GROUP BY variant_id")
@@ -864,9 +894,9 @@ def q14_default_variants(lab: Lab) -> DataFrame:
     return warehouse.default_variants(firsts, "2-6,11", "BUILDING")
 
 
-@query("SELECT g.name, 'dataset' AS property, CAST(g.dataset_id AS DOUBLE) AS value FROM graph_dim g WHERE g.graph_id < 10")
+@query("SELECT g.name, 'dataset' AS property, CAST(g.dataset_id AS DOUBLE) AS value FROM graph_dim g")
 def q15_graph_properties(lab: Lab) -> DataFrame:
-    values = lab.graphs.where("graph_id < 10").select("graph_id", F.lit("dataset").alias("property"), F.col("dataset_id").cast("double").alias("value"))
+    values = lab.graphs.select("graph_id", F.lit("dataset").alias("property"), F.col("dataset_id").cast("double").alias("value"))
     return values.join(lab.graphs.select("graph_id", "name"), "graph_id").select("name", "property", "value")
 
 
@@ -903,13 +933,12 @@ _BIT = "('0x' || substr(md5('42:3:' || {}), 1, 15))::BIGINT % 2 = 0"
 
 
 @query(
-    "b AS (SELECT src, dst, (src % 2 = 0 AND dst % 3 = 0) AS two FROM edges WHERE src % 2 = 0 OR dst % 3 = 0)"
+    "b AS (SELECT src, dst, count(*) = 2 AS two FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY src, dst)"
     f" SELECT 'vertex' AS kind, src, dst FROM b WHERE two OR {_BIT.format('dst')} UNION ALL SELECT 'edge', src, dst FROM b WHERE two OR {_BIT.format(chr(39) + chr(39) + ' || dst || ' + chr(39) + ':' + chr(39) + ' || src')}"
 )
 def g13_hash_crossover(lab: Lab) -> DataFrame:
-    e, v = lab.edges, lab.vertices
-    one, other = Graph(e.where("src % 2 = 0"), v), Graph(e.where("dst % 3 = 0"), v)
-    children = [crossover(one, other, kind, seed=SEED).edges.select(F.lit(kind).alias("kind"), "src", "dst") for kind in ("vertex", "edge")]
+    g = _graph(lab)
+    children = [crossover(g, g.reversed, kind, seed=SEED).edges.select(F.lit(kind).alias("kind"), "src", "dst") for kind in ("vertex", "edge")]
     return children[0].unionByName(children[1])
 
 

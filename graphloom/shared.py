@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a bucket should hold.
+BUCKET_ROWS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a local folder where that is unset and the master is local (tests)."""
@@ -47,6 +50,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets for so many rows: ``BUCKET_ROWS`` each, as many as there are cores at least and as Spark allows at most."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)))
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``keys``: a join on them shuffles its other side alone."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = f"graphloom_{path.rsplit('-', 1)[1]}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._graphloom_path, out._graphloom_table = path, name
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing reads any more."""
+    """Deletes a table of ``written`` or ``bucketed`` that nothing reads any more."""
+    if name := getattr(df, "_graphloom_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     drop_path(df.sparkSession, df._graphloom_path)

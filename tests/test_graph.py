@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from graphloom.functions import UNREACHED
-from graphloom.operators import debug, generate
+from graphloom.operators import debug, generate, graph
 from graphloom.operators.graph import Graph, crossover, summary
 from graphloom.sources import edgelist
 from graphloom.sources.native import parse, read_native, write_native
@@ -30,6 +30,28 @@ def test_strategies_agree_on_a_random_graph(spark):
     assert levels(g, 3, "push") == levels(g, 3, "pull") == levels(g, 3, "switch")
 
 
+def test_heavy_vertices_are_dealt_to_several_buckets(spark, monkeypatch):
+    pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 70)] + [(i, 70) for i in range(2, 50)]
+    g = Graph.of_edges(edges(spark, *pairs))
+    plain, ranks = levels(g, 0), {r["id"]: r["rank"] for r in g.pagerank(6).collect()}
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 5)
+    dealt = graph.DealtEdges(g.edges, "src", 5)
+    assert {r["src"]: r["salts"] for r in dealt.hot.collect()} == {0: 12}
+    assert sorted(map(tuple, dealt.edges.select("src", "dst").collect())) == sorted(map(tuple, g.edges.collect()))
+    assert dealt.join(g.vertices.where("id = 0"), "left_semi").count() == 59 and dealt.join(g.vertices.where("id = 0"), "left_anti").count() == len(set(pairs)) - 59
+    dealt.drop()
+    assert levels(g, 0, "push") == levels(g, 0, "pull") == levels(g, 0, "switch") == plain
+    assert all(abs(r["rank"] - ranks[r["id"]]) < 1e-12 for r in g.pagerank(6).collect())
+
+
+def test_dealt_edges_are_not_shuffled_again(spark):
+    dealt = graph.DealtEdges(edges(spark, *[(i, i + 1) for i in range(100)]), "src")
+    found = dealt.join(spark.range(50).hint("merge"), "left_semi")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.count() == 50
+    dealt.drop()
+
+
 def test_repeated_edges_and_loops(spark):
     g = Graph.of_edges(edges(spark, (0, 1), (0, 1), (1, 1)))
     assert g.counts().first().asDict() == {"vertices": 2, "edges": 2, "undirected": False}

@@ -154,3 +154,15 @@ def test_shared_folder_is_not_local_on_a_cluster(spark):
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError):
         shared.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf))
+
+
+def test_refined_answers_outside_their_set(spark):
+    rows = [(1, 0, 1), (1, 1, -2), (1, 2, -2), (1, 3, -2), (1, 4, None), (1, 5, -3), (1, 6, -3)]
+    truth = spark.createDataFrame([(1, i, t) for i, t in enumerate([1, 1, 2, 3, 1, 4, 1])], "variant_id long, step_id long, best_impl long")
+    predicted = spark.createDataFrame(rows, "variant_id long, step_id long, raw long")
+    got = model.validation_report(predicted, truth, {2: [1, 2], 3: [4, 5]}, {2: 1, 3: 9}).first().asDict()
+    assert [got[k] for k in ("right_n", "partial_n", "wrong_n", "unknown_n")] == [2, 1, 3, 1]
+    assert [got[k] for k in ("right_refined", "partial_refined", "wrong_refined")] == [1, 1, 1]
+    assert round(got["hard_error"], 6) == round(3 / 7, 6) and round(got["soft_refined_error"], 6) == round(2 / 3, 6)
+    empty = model.validation_report(predicted.limit(0), truth, {}).first()
+    assert empty["right_n"] == 0 and empty["hard_error"] is None
