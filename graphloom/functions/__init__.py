@@ -78,15 +78,21 @@ def select_sample(df: DataFrame, key: str, seed: int, stream: int, amount: int |
     return df.withColumn("keep", F.coalesce(mine <= F.struct(F.lit(last["_order"]).alias("_order"), F.lit(last[key]).alias("k")), F.lit(False)))
 
 
+def few_values(df: DataFrame, column: str, most: int = 100_000) -> list:
+    """The distinct values of a small dimension's column in order; more than ``most`` are an error, and no more than that reach the driver."""
+    found = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return found
+
+
 def dense_vector(keys: DataFrame, facts: DataFrame, on: list[str], key: str, value: str, default: float, latest: str | None = None) -> DataFrame:
     """For each group ``on`` of ``facts`` a vector of (key, value) over all ``keys`` in their order; missing values are ``default``.
 
     Several values of a key: that with the greatest ``latest``, or the greatest value. ``keys`` is a small dimension; it is collected within
-    a bound of 100,000 keys, so that vectors are built in one aggregation without a cross join.
+    the bound of ``few_values``, so that vectors are built in one aggregation without a cross join.
     """
-    all_keys = [r[0] for r in keys.select(key).distinct().orderBy(key).limit(100_001).collect()]
-    if len(all_keys) > 100_000:
-        raise ValueError("more than 100,000 keys in a dense vector")
+    all_keys = few_values(keys, key)
     pick = F.max_by(value, latest) if latest else F.max(value)
     one = facts.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(*on, key).agg(pick.alias("_value"))
     have = one.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct(key, "_value"))).alias("_have"))

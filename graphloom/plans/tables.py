@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import few_values
+
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` take the place of rows with their key; others are added."""
@@ -37,7 +39,7 @@ def backfill(table: DataFrame, source: DataFrame, key: list[str], values: Iterab
 
 def new_variants(graphs: DataFrame, configs: DataFrame, variants: DataFrame) -> DataFrame:
     """(graph_id, config_name) pairs that have no variant yet; configurations are few."""
-    names = [r[0] for r in configs.select("config_name").distinct().collect()]
+    names = few_values(configs, "config_name")
     pairs = graphs.select("graph_id").withColumn("config_name", F.explode(F.array(*[F.lit(n) for n in names])))
     return pairs.join(variants.select("graph_id", "config_name"), ["graph_id", "config_name"], "left_anti")
 

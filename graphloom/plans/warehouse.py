@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import BEST_NON_SWITCHING, OPTIMAL, dense_vector, min_key, select_sample, total
+from graphloom.functions import BEST_NON_SWITCHING, OPTIMAL, dense_vector, few_values, min_key, select_sample, total
 from graphloom.shared import written
 
 CORE = "Core"
@@ -17,7 +17,7 @@ CORE = "Core"
 
 def _ids(impls: DataFrame) -> Column:
     """All implementation ids as an array."""
-    return F.array(*[F.lit(r[0]) for r in impls.select("impl_id").orderBy("impl_id").collect()]).cast("array<bigint>")
+    return F.array(*map(F.lit, few_values(impls, "impl_id"))).cast("array<bigint>")
 
 
 def best_per_step(steps: DataFrame, impls: DataFrame, complete: bool = True) -> DataFrame:
@@ -31,8 +31,7 @@ def best_per_step(steps: DataFrame, impls: DataFrame, complete: bool = True) ->
 def step_info(steps: DataFrame, impls: DataFrame, properties: DataFrame | None = None, complete: bool = True) -> DataFrame:
     """``best_per_step`` with the best one's place among the implementations (best_idx), and vectors of all timings and, if given, properties."""
     best = best_per_step(steps, impls, complete)
-    places = impls.select("impl_id").orderBy("impl_id").collect()
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(places) for x in (r[0], i)])
+    place = F.create_map(*[F.lit(x) for i, impl in enumerate(few_values(impls, "impl_id")) for x in (impl, i)])
     out = best.withColumn("best_idx", place[F.col("best_impl")].cast("long"))
     out = out.join(dense_vector(impls, steps, ["variant_id", "step_id"], "impl_id", "avg_time", float("inf")).withColumnRenamed("vector", "timings"), ["variant_id", "step_id"])
     if properties is not None:
@@ -89,7 +88,7 @@ def impl_rank(steps: DataFrame, column: str = "avg_time", ranking: str = "avg")
 
 def time_plot(runs: DataFrame, variants: DataFrame, graphs: DataFrame, impls: DataFrame, config: str) -> DataFrame:
     """(variant_id, graph_id, graph, impl_id, time): mean total per implementation of each variant of a configuration; null where it did not run."""
-    chosen = variants.where(F.col("config_name") == config).join(F.broadcast(graphs.select("graph_id", F.col("name").alias("graph"))), "graph_id")
+    chosen = variants.where(F.col("config_name") == config).join(graphs.select("graph_id", F.col("name").alias("graph")), "graph_id")
     times = runs.groupBy("variant_id", "impl_id").agg(F.avg("total_time").alias("time"))
     slots = chosen.withColumn("impl_id", F.explode(_ids(impls)))
     return slots.join(times, ["variant_id", "impl_id"], "left").select("variant_id", "graph_id", "graph", "impl_id", "time")
@@ -104,7 +103,7 @@ def level_plot(steps: DataFrame, variant: int, impls: DataFrame) -> DataFrame:
 
 def step_heatmap(steps: DataFrame, variants: DataFrame, impls: DataFrame, config: str) -> DataFrame:
     """A row for each (variant, step) of a configuration with a column for each implementation."""
-    ids = [r[0] for r in impls.select("impl_id").orderBy("impl_id").collect()]
+    ids = few_values(impls, "impl_id")
     chosen = steps.join(variants.where(F.col("config_name") == config).select("variant_id"), "variant_id")
     return chosen.groupBy("variant_id", "step_id").agg(*[F.max(F.when(F.col("impl_id") == i, F.col("avg_time"))).alias(f"impl_{i}") for i in ids])
 

@@ -165,7 +165,7 @@ def s18_q8_step_heatmap(lab: Lab) -> DataFrame:
 
 @query("SELECT variant_id, avg(total_time) FILTER (impl_id = 1) AS push, avg(total_time) FILTER (impl_id = 2) AS pull, avg(total_time) FILTER (impl_id = 3) AS switch FROM run_fact GROUP BY variant_id")
 def s19_bar_series(lab: Lab) -> DataFrame:
-    return lab.runs.join(F.broadcast(lab.impls), "impl_id").groupBy("variant_id").pivot("name", ["push", "pull", "switch"]).agg(F.avg("total_time"))
+    return lab.runs.join(lab.impls, "impl_id").groupBy("variant_id").pivot("name", ["push", "pull", "switch"]).agg(F.avg("total_time"))
 
 
 @query(
@@ -460,7 +460,7 @@ def q1_step_info(lab: Lab) -> DataFrame:
 
 @query("SELECT v.variant_id, v.graph_id FROM variant_dim v JOIN graph_dim g USING (graph_id) WHERE g.dataset_id IN (1, 3) AND v.config_name = 'BUILDING'")
 def q2_variants(lab: Lab) -> DataFrame:
-    chosen = F.broadcast(lab.graphs.where(F.col("dataset_id").isin(1, 3)).select("graph_id"))
+    chosen = lab.graphs.where(F.col("dataset_id").isin(1, 3)).select("graph_id")
     return lab.variants.where("config_name = 'BUILDING'").join(chosen, "graph_id").select("variant_id", "graph_id")
 
 
@@ -830,7 +830,7 @@ def j2_j8_grouped_subquery(lab: Lab) -> DataFrame:
 
 @query("SELECT c_custkey AS variant_id, c_nationkey + 0 AS graph_id, n_name AS graph FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def j10_natural_keys(lab: Lab) -> DataFrame:
-    names = F.broadcast(lab.table("nation").select(F.col("n_nationkey").alias("graph_id"), F.col("n_name").alias("graph")))
+    names = lab.table("nation").select(F.col("n_nationkey").alias("graph_id"), F.col("n_name").alias("graph"))
     rows = lab.table("customer").select(F.col("c_custkey").alias("variant_id"), F.col("c_nationkey").alias("graph_id"))
     return rows.join(names, "graph_id").select("variant_id", "graph_id", "graph")
 
@@ -849,7 +849,7 @@ def a7_a8_distinct_aggregates(lab: Lab) -> DataFrame:
 
 @query("SELECT v.variant_id, any_value(g.name) AS graph, sum(r.total_time)::BIGINT AS time FROM run_fact r JOIN variant_dim v USING (variant_id) JOIN graph_dim g USING (graph_id) GROUP BY v.variant_id")
 def a15_dependent_column(lab: Lab) -> DataFrame:
-    joined = lab.runs.join(lab.variants.select("variant_id", "graph_id"), "variant_id").join(F.broadcast(lab.graphs.select("graph_id", F.col("name").alias("graph"))), "graph_id")
+    joined = lab.runs.join(lab.variants.select("variant_id", "graph_id"), "variant_id").join(lab.graphs.select("graph_id", F.col("name").alias("graph")), "graph_id")
     return joined.groupBy("variant_id").agg(F.any_value("graph").alias("graph"), F.sum("total_time").alias("time"))
 
 

@@ -166,3 +166,10 @@ def test_refined_answers_outside_their_set(spark):
     assert round(got["hard_error"], 6) == round(3 / 7, 6) and round(got["soft_refined_error"], 6) == round(2 / 3, 6)
     empty = model.validation_report(predicted.limit(0), truth, {}).first()
     assert empty["right_n"] == 0 and empty["hard_error"] is None
+
+
+def test_few_values_has_a_bound(spark):
+    rows = spark.createDataFrame([(3,), (1,), (3,)], "k long")
+    assert fn.few_values(rows, "k", 2) == [1, 3] and fn.few_values(rows.limit(0), "k") == []
+    with pytest.raises(ValueError):
+        fn.few_values(rows, "k", 1)
