@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
@@ -27,6 +28,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 LONG_TEXT = 1 << 20
 #: Bytes of text whose words are held as Python strings at a time.
 SLICE_BYTES = 3 << 20
+#: The same where the ids of these texts go out too.
+ID_SLICE_BYTES = 1 << 20
 #: Distinct words that a worker remembers before it starts afresh.
 MEMORY_WORDS = 350_000
 #: Between words while all are matched at once; no byte stands for it.
@@ -245,6 +248,23 @@ class BpeCoder:
         return decoded_text(self.model.bytes_of, ids)
 
 
+class PackedCoder(BpeCoder):
+    """Remembers a word's ids as the bytes of 32-bit integers, so that the ids of many texts never stand as Python lists."""
+
+    def entry(self, word: str, ids: list[int]):
+        return array("i", ids).tobytes()
+
+    def id_lists(self, texts: list[str]) -> pa.ListArray:
+        found = [b"".join([b"".join(run) for run in runs]) for runs in self.found(texts)]
+        ends = np.cumsum([0] + [len(f) // 4 for f in found])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+    def texts_of(self, lists: pa.ListArray) -> pa.Array:
+        """What each list of ids decodes to; only one list at a time is unpacked."""
+        ids, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+        return pa.array((self.decode(ids[i:j].tolist()) for i, j in zip(ends, ends[1:])), pa.string())
+
+
 class DigestCoder(BpeCoder):
     """Remembers for a word its count, its ids as text and the bytes that these decode to."""
 
@@ -281,8 +301,8 @@ def _coded(docs: DataFrame, vocabulary_path: str, text: str, made: dict[str, T.D
     at = kept.index(text)
 
     def work(batches):
-        coder = BpeCoder(_model(shared.value), MEMORY_WORDS // 2)
-        for batch in slices(batches, at, SLICE_BYTES):
+        coder = PackedCoder(_model(shared.value), MEMORY_WORDS // 2)
+        for batch in slices(batches, at, ID_SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, *work_on(coder, [t or "" for t in batch.column(at).to_pylist()])], [*batch.schema.names, *made])
 
     slim = docs.select(*[docs[f"`{c}`"] for c in kept])
@@ -295,15 +315,15 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", output: st
     Null and empty texts have no tokens. Every other column stays as it is, whatever its name; a column already named ``output`` is replaced.
     Repeated rows stay repeated. Very long texts are worked on in runs of 100,000 words.
     """
-    return _coded(docs, vocabulary_path, text, {output: T.ArrayType(T.IntegerType())}, lambda coder, texts: [pa.array(coder.encode_many(texts), pa.list_(pa.int32()))])
+    return _coded(docs, vocabulary_path, text, {output: T.ArrayType(T.IntegerType())}, lambda coder, texts: [coder.id_lists(texts)])
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", output: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``output``, the token ids of the whole ``text``, and ``decoded``, the text that these ids stand for: ``encode`` and ``decode`` in one step. Null and odd rows are treated as by these."""
 
-    def both(coder: BpeCoder, texts: list[str]):
-        ids = coder.encode_many(texts)
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(coder.decode, ids), pa.string())]
+    def both(coder: PackedCoder, texts: list[str]):
+        ids = coder.id_lists(texts)
+        return [ids, coder.texts_of(ids)]
 
     return _coded(docs, vocabulary_path, text, {output: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, both)
 

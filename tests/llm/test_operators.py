@@ -538,6 +538,10 @@ def test_tokens_equal_the_library(model):
     ids = coder.encode_many(texts)
     assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [coder.decode(x) for x in ids] == [library.decode(x, skip_special_tokens=False) for x in ids]
+    packed = bpe.PackedCoder(model, 500)
+    lists = packed.id_lists(texts)
+    assert lists.to_pylist() == ids and packed.texts_of(lists).to_pylist() == [coder.decode(x) for x in ids]
+    assert packed.id_lists(["", ""]).to_pylist() == [[], []] and packed.id_lists([]).to_pylist() == []
 
 
 def test_proposals_are_verified(model):
@@ -559,7 +563,10 @@ def test_round_trip(spark):
     assert all(r["decoded"] == (r["text"] or "") for r in back) and len(back) == len(odd_texts())
     digests = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.round_trip_digests(made, vocabulary_path()).collect()}
     assert digests == {(r["doc_id"], len(r["token_ids"]), hashlib.sha256(",".join(map(str, r["token_ids"])).encode()).hexdigest()) for r in back}
+    both = bpe.round_trip(made, vocabulary_path()).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["token_ids"], r["decoded"]) for r in both) == sorted((r["doc_id"] is None, r["doc_id"], r["token_ids"], r["decoded"]) for r in back)
     assert bpe.encode(made.limit(0), vocabulary_path()).count() == 0
+    assert bpe.round_trip(made.limit(0), vocabulary_path()).count() == 0
 
 
 # queries
