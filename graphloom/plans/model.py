@@ -157,15 +157,18 @@ def validation_report(predicted: DataFrame, truth: DataFrame, sets: dict[int, li
 
 
 def interesting(totals: DataFrame) -> DataFrame:
-    """(criterion, variant_id): where each implementation is relatively best and worst, and where the spread of times is greatest by several measures."""
-    plain = totals.where(F.col("impl_id") >= 0)
-    base = plain.groupBy("variant_id").agg(F.min("time").alias("least"), F.max("time").alias("most"), F.stddev_pop("time").alias("sd"), F.avg("time").alias("mean"))
-    rel = plain.join(base.where("least > 0"), "variant_id").withColumn("rel", F.col("time") / F.col("least"))
-    by = lambda v, up: (F.min_by if up else F.max_by)("variant_id", F.struct(v, (F.col("variant_id") if up else -F.col("variant_id"))))
-    each = rel.groupBy("impl_id").agg(by(F.col("rel"), True).alias("best"), by(F.col("rel"), False).alias("worst"))
-    named = each.select(F.explode(F.array(*[F.struct(F.concat_ws(" ", F.lit(n), F.col("impl_id")).alias("criterion"), F.col(n).alias("variant_id")) for n in ("best", "worst")])).alias("x")).select("x.*")
-    wide = base.where("least > 0").agg(by(F.col("most") / F.col("least"), False).alias("ratio"), by(F.col("sd") / F.col("mean"), False).alias("deviation"))
-    return named.unionByName(wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(n).alias("variant_id")) for n in ("ratio", "deviation")])).alias("x")).select("x.*"))
+    """(criterion, variant_id): where each implementation is relatively best and worst, and where the spread of times is greatest by several measures.
+
+    A variant's least time comes from the same rows as its other times: sums that were computed twice may differ in the last bit, and the fastest would not be 1.
+    """
+    all_times = Window.partitionBy("variant_id").orderBy("time", "impl_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spread = {"least": F.min("time"), "most": F.max("time"), "sd": F.stddev_pop("time"), "mean": F.avg("time")}
+    rows = totals.where((F.col("impl_id") >= 0) & F.col("variant_id").isNotNull()).select("variant_id", "impl_id", "time", *[v.over(all_times).alias(k) for k, v in spread.items()]).where("least > 0")
+    rel, of_impl = F.col("time") / F.col("least"), lambda n: F.concat_ws(" ", F.lit(n), F.col("impl_id"))
+    scores = [(of_impl("best"), -rel), (of_impl("worst"), rel), (F.lit("ratio"), F.col("most") / F.col("least")), (F.lit("deviation"), F.col("sd") / F.col("mean"))]
+    named = rows.select("variant_id", F.explode(F.array(*[F.struct(k.alias("criterion"), v.alias("score")) for k, v in scores])).alias("x")).select("variant_id", "x.*")
+    none = totals.sparkSession.createDataFrame([(None, "ratio", None), (None, "deviation", None)], "variant_id long, criterion string, score double")  # those two have a row even without variants
+    return named.unionByName(none).groupBy("criterion").agg(F.max_by("variant_id", F.struct("score", -F.col("variant_id"))).alias("variant_id"))
 
 
 def shape(totals: DataFrame) -> DataFrame:

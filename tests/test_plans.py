@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -173,3 +174,13 @@ def test_few_values_has_a_bound(spark):
     assert fn.few_values(rows, "k", 2) == [1, 3] and fn.few_values(rows.limit(0), "k") == []
     with pytest.raises(ValueError):
         fn.few_values(rows, "k", 1)
+
+
+def test_best_of_totals_that_differ_each_time_they_are_computed(spark):
+    """As sums of doubles do whose terms arrive in another order."""
+    noise = F.udf(lambda: 100 + random.random() * 1e-9, "double").asNondeterministic()
+    totals = spark.range(200, numPartitions=4).select((F.col("id") % 100).alias("variant_id"), F.when(F.col("id") < 100, 1).otherwise(2).cast("long").alias("impl_id")).where("impl_id = variant_id % 2 + 1 or variant_id = 7")
+    totals = totals.withColumn("time", F.when(F.col("variant_id") == 7, F.col("impl_id") * 10.0).otherwise(noise()))
+    got = {r["criterion"]: r["variant_id"] for r in model.interesting(totals).collect()}
+    assert got == {"best 1": 0, "worst 1": 0, "best 2": 1, "worst 2": 7, "ratio": 7, "deviation": 7}
+    assert {r["criterion"]: r["variant_id"] for r in model.interesting(totals.limit(0)).collect()} == {"ratio": None, "deviation": None}
