@@ -254,8 +254,8 @@ def prediction_report(predicted: DataFrame, best: DataFrame, steps: DataFrame) -
 
 
 def relative_to_optimal(totals: DataFrame) -> DataFrame:
-    """(variant_id, impl_id, relative): each total by the optimum of its variant."""
-    base = totals.where(F.col("impl_id") == OPTIMAL).select("variant_id", F.col("time").alias("base"))
+    """(variant_id, impl_id, relative): each total by the optimum of its variant; variants without an optimum are left out."""
+    base = totals.where((F.col("impl_id") == OPTIMAL) & F.col("time").isNotNull()).select("variant_id", F.col("time").alias("base"))
     return totals.join(base, "variant_id").select("variant_id", "impl_id", F.try_divide("time", "base").alias("relative"))
 
 

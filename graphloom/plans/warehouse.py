@@ -56,10 +56,14 @@ def variant_vectors(steps: DataFrame, impls: DataFrame) -> DataFrame:
 
 
 def impl_totals(steps: DataFrame, impls: DataFrame) -> DataFrame:
-    """(variant_id, impl_id, time): the sum over steps of each implementation, and of the best core one as -1, the best single core one as -2."""
+    """(variant_id, impl_id, time): the sum over steps of each implementation, and of the best core one as -1, the best single core one as -2.
+
+    A variant without any core step has null as -1 and no -2.
+    """
     each = steps.groupBy("variant_id", "impl_id").agg(F.sum("avg_time").alias("time"))
     core = impls.where(F.col("type") == CORE).select("impl_id")
-    optimal = steps.join(core, "impl_id").groupBy("variant_id", "step_id").agg(F.min("avg_time").alias("m")).groupBy("variant_id").agg(F.sum("m").alias("time"))
+    marked = steps.join(core.withColumn("core", F.lit(True)), "impl_id", "left")
+    optimal = marked.groupBy("variant_id", "step_id").agg(F.min(F.when(F.col("core"), F.col("avg_time"))).alias("m")).groupBy("variant_id").agg(F.sum("m").alias("time"))
     single = each.join(core, "impl_id").groupBy("variant_id").agg(F.min("time").alias("time"))
     fixed = lambda df, i: df.select("variant_id", F.lit(i).cast("long").alias("impl_id"), "time")
     return each.select("variant_id", "impl_id", "time").unionByName(fixed(optimal, OPTIMAL)).unionByName(fixed(single, BEST_NON_SWITCHING))

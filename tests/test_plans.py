@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom import functions as fn
 from graphloom.operators import relational
 from graphloom.operators.order import counted, numbered, running_sum, top_share
-from graphloom.plans import model, tables
+from graphloom.plans import model, tables, warehouse
 from graphloom.sources import logs
 from graphloom.streaming import stream_timings
 
@@ -184,3 +184,12 @@ def test_best_of_totals_that_differ_each_time_they_are_computed(spark):
     got = {r["criterion"]: r["variant_id"] for r in model.interesting(totals).collect()}
     assert got == {"best 1": 0, "worst 1": 0, "best 2": 1, "worst 2": 7, "ratio": 7, "deviation": 7}
     assert {r["criterion"]: r["variant_id"] for r in model.interesting(totals.limit(0)).collect()} == {"ratio": None, "deviation": None}
+
+
+def test_optimum_of_a_variant_without_core_steps(spark):
+    steps = spark.createDataFrame([(1, 0, 1, 4.0), (1, 0, 3, 1.0), (1, 1, 3, 2.0), (2, 0, 3, 5.0), (3, 0, 9, 6.0)], "variant_id long, step_id long, impl_id long, avg_time double")
+    impls = spark.createDataFrame([(1, "Core"), (3, "Derived")], "impl_id long, type string")
+    totals = warehouse.impl_totals(steps, impls)
+    assert sorted(map(tuple, totals.where("impl_id < 0").collect()), key=lambda r: r[:2]) == [(1, -2, 4.0), (1, -1, 4.0), (2, -1, None), (3, -1, None)]
+    assert {tuple(r) for r in model.relative_to_optimal(totals).where("impl_id >= 0").collect()} == {(1, 1, 1.0), (1, 3, 0.75)}
+    assert {r["impl_id"] for r in model.evaluate(totals).collect()} == {-2, -1, 1, 3}
